@@ -1,15 +1,16 @@
 """Text columns: normalising, folding, keys, concatenation, tokens.
 
 Every function takes and returns a ``Column``. Unicode normalisation is the only step
-Spark has no expression for. It goes to Python only for the rows that need it: a regular
-expression finds the texts whose characters are all known to be unaffected (or to fold to
-one letter), and those stay in the JVM.
+Spark has no expression for; it runs in Arrow batches, and only texts with other than ASCII
+characters are sent there.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -17,24 +18,10 @@ from pyspark.sql import Column, functions as F, types as T
 # All characters that Unicode counts as white space (29 of them).
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
-# Ranges in which every character is its own NFC form, never combines with its left
-# neighbour and is no combining mark (tests check this rule character by character).
-STABLE_RANGES = (
-    (0x0000, 0x02FF),   # Latin, IPA
-    (0x0400, 0x0482),   # Cyrillic
-    (0x048A, 0x052F),
-    (0x1E00, 0x1EFF),   # Latin with marks, used for Pali romanisation
-    (0x2010, 0x2027),   # dashes, quotation marks, ellipsis
-    (0x3001, 0x3029),   # CJK punctuation
-    (0x4E00, 0x9FFF),   # CJK ideographs
-)
-
 # Language tests, tried in this order; English when none matches.
-LANGUAGE_PATTERNS = (
-    ("zh", r"[一-鿿]"),
-    ("ru", r"[Ѐ-ӿ]"),
-    ("pali", r"[āīūḍḷṇṭñĀĪŪḌḶṆṬÑ]"),
-)
+CHINESE = "[一-鿿]"
+RUSSIAN = "[Ѐ-ӿ]"
+PALI_LETTERS = "āīūḍḷṇṭñĀĪŪḌḶṆṬÑ"
 DEFAULT_LANGUAGE = "en"
 
 # Separators and texts for missing parts.
@@ -43,42 +30,23 @@ KEY_SEPARATOR = ":"
 MISSING_ID = "nan"
 UNKNOWN_PART = "?"
 
-TOKEN_BREAK = r"[^\p{L}\p{N}\p{M}]+"
+TOKEN = r"[\p{L}\p{N}\p{M}]+"
 
 # RFC 4122 name space for DNS names.
 _DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
-def _fold_text(text: str) -> str:
-    decomposed = unicodedata.normalize("NFKD", text)
-    return "".join(c for c in decomposed if not unicodedata.combining(c))
-
-
-def _fold_table() -> tuple[str, str, str]:
-    """Letters that fold to one other character, what they fold to, and the rest."""
-    source, target, other = [], [], []
-    for first, last in STABLE_RANGES:
-        for char in map(chr, range(first, last + 1)):
-            folded = _fold_text(char)
-            if folded == char:
-                continue
-            if len(folded) == 1:
-                source.append(char)
-                target.append(folded)
-            else:
-                other.append(char)
-    return "".join(source), "".join(target), "".join(other)
-
-
-_FOLD_FROM, _FOLD_TO, _FOLD_OTHER = _fold_table()
-
+class _Folds(dict):
+    """Character → its compatibility decomposition without combining marks. Filled as
+    characters turn up; folding is the same character by character as for whole texts."""
 
-def _char_class(ranges: Sequence[tuple[int, int]]) -> str:
-    return "".join(f"\\x{{{first:x}}}-\\x{{{last:x}}}" for first, last in ranges)
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code))
+        self[code] = "".join(c for c in parts if not unicodedata.combining(c))
+        return self[code]
 
 
-_NEEDS_NFC = f"[^{_char_class(STABLE_RANGES)}]"
-_NEEDS_FOLD = f"{_NEEDS_NFC}|[{_char_class([(ord(c), ord(c)) for c in _FOLD_OTHER])}]"
+_FOLDS = _Folds()
 
 
 @F.pandas_udf(T.StringType())
@@ -88,7 +56,13 @@ def _nfc_batch(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _fold_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(_fold_text, na_action="ignore")
+    return texts.map(lambda t: t.translate(_FOLDS), na_action="ignore")
+
+
+def _unless_ascii(c: Column, batch) -> Column:
+    """Apply ``batch`` to texts with other than ASCII characters; the rest pass as null."""
+    other = F.octet_length(c) > F.length(c)
+    return F.when(other, batch(F.when(other, c))).otherwise(c)
 
 
 def as_column(c: Column | str) -> Column:
@@ -102,26 +76,25 @@ def strip(c: Column | str) -> Column:
 
 def normalize_nfc(c: Column | str) -> Column:
     """NFC form, trimmed; null stays null."""
-    c = as_column(c)
-    rare = c.rlike(_NEEDS_NFC)
-    return strip(F.when(rare, _nfc_batch(F.when(rare, c))).otherwise(c))
+    return strip(_unless_ascii(as_column(c), _nfc_batch))
 
 
 def strip_diacritics(c: Column | str) -> Column:
     """Compatibility decomposition without its combining marks (``ā`` → ``a``)."""
-    c = as_column(c)
-    rare = c.rlike(_NEEDS_FOLD)
-    return (F.when(rare, _fold_batch(F.when(rare, c)))
-            .otherwise(F.translate(c, _FOLD_FROM, _FOLD_TO)))
+    return _unless_ascii(as_column(c), _fold_batch)
+
+
+def contains_any(c: Column, letters: str) -> Column:
+    """Whether any of the letters occurs. Byte searches; a regular expression that lists
+    single letters tests them one by one for every character."""
+    return reduce(or_, [c.contains(letter) for letter in letters])
 
 
 def detect_lang(c: Column | str) -> Column:
     """Language guess from the alphabet: zh, ru, pali, else en."""
     c = as_column(c)
-    guess = F.lit(DEFAULT_LANGUAGE)
-    for language, pattern in reversed(LANGUAGE_PATTERNS):
-        guess = F.when(c.rlike(pattern), language).otherwise(guess)
-    return guess
+    return (F.when(c.rlike(CHINESE), "zh").when(c.rlike(RUSSIAN), "ru")
+            .when(contains_any(c, PALI_LETTERS), "pali").otherwise(DEFAULT_LANGUAGE))
 
 
 def keyword_query(query: Column | str, lang: Column | str) -> Column:
@@ -176,5 +149,5 @@ def citation_tag(book_id: Column | str = "book_id", para_id: Column | str = "par
 
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters, digits and marks; null gives an empty array."""
-    words = F.filter(F.split(F.lower(as_column(c)), TOKEN_BREAK), lambda t: t != "")
+    words = F.regexp_extract_all(F.lower(as_column(c)), F.lit(TOKEN), F.lit(0))
     return F.coalesce(words, F.array().cast("array<string>"))

@@ -28,11 +28,15 @@ def norm(v: Column | str) -> Column:
 
 
 def l2_normalize(v: Column | str) -> Column:
-    """Unit vector; a vector of length zero stays as it is."""
+    """Unit vector; a vector of length zero stays as it is.
+
+    The length is paired with every component as an array. Named inside the lambda it
+    would be computed again for each component.
+    """
     v = as_column(v)
     length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: (x / length).cast("float"))).otherwise(
-        v.cast("array<float>"))
+    scale = F.when(length > 0, length).otherwise(1.0)
+    return F.zip_with(v, F.array_repeat(scale, F.size(v)), lambda x, s: (x / s).cast("float"))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -125,6 +125,10 @@ def _keyword_leg(index: Index, q: DataFrame, allowed: DataFrame | None,
     weighted = lexical.weigh_terms(terms, index.term_stats(distinct), index.field_totals(),
                                    options.fields)
     posted = index.postings()
+    few = [r["term"] for r in distinct.limit(lexical.PUSHED_TERMS + 1).collect()]
+    if len(few) <= lexical.PUSHED_TERMS:
+        # Buckets are sorted by term: the scan skips the parts without any of them.
+        posted = posted.where(F.col("term").isin(few))
     if allowed is not None:
         posted = posted.join(allowed, "doc_id", "left_semi")
     return lexical.bm25_topk(posted, weighted, limit, n_rows)

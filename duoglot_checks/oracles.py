@@ -258,14 +258,7 @@ AUDIT_COLUMNS = """count(*) AS n_vectors, CAST(min(d) AS INT) AS min_dim, CAST(m
   count(*) FILTER (l = 0) AS n_zero, count(*) FILTER (abs(l - 1) > 1e-5) AS n_not_unit,
   round(min(l), 4) AS min_norm, round(max(l), 4) AS max_norm"""
 
-SENTENCES = f"""asked AS (SELECT DISTINCT query_id, s FROM (SELECT query_id,
-    {strip("unnest(string_split_regex(query, '[.' || chr(10) || ']'))")} AS s FROM q) WHERE s <> ''),
-told AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id,
-    {strip("unnest(string_split_regex(concat_ws(chr(10), pali_paragraph, translation_paragraph), '[.' || chr(10) || ']'))")} AS s
-  FROM corpus) WHERE s <> ''),
-wanted_n AS (SELECT query_id, count(*) AS m FROM asked GROUP BY ALL),
-shared AS (SELECT query_id, doc_id, count(*) AS k FROM asked JOIN told USING (s) GROUP BY ALL),
-judged AS (SELECT query_id, doc_id FROM shared JOIN wanted_n USING (query_id) WHERE k = m),
+PASSAGES = """judged AS (SELECT query_id, doc_id FROM q JOIN corpus ON contains(multilingual_concat, query)),
 quality AS (SELECT query_id, count(*) AS n_relevant, count(rank) AS n_found, count(rank) > 0 AS hit,
   round(count(rank)::DOUBLE / count(*), 6) AS recall,
   round(coalesce(1.0 / min(rank), 0), 6)::DOUBLE AS reciprocal_rank
@@ -404,8 +397,8 @@ FROM pairs GROUP BY label""",
   bool_and(coalesce(score <= p, true)) AS non_increasing, bool_and(score >= 0 AND score <= 1) AS within_unit,
   count(*) <= 10 AS within_top_k FROM (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS p
   FROM hits) GROUP BY query_id"""),
-    "retrieval_quality": search(more=SENTENCES, final="SELECT * FROM quality"),
-    "retrieval_summary": search(more=SENTENCES, final="""SELECT count(*) AS n_queries,
+    "retrieval_quality": search(more=PASSAGES, final="SELECT * FROM quality"),
+    "retrieval_summary": search(more=PASSAGES, final="""SELECT count(*) AS n_queries,
   round(avg(hit::INT), 6) AS hit_rate, round(avg(recall), 6) AS mean_recall,
   round(avg(reciprocal_rank), 6) AS mrr FROM quality"""),
     "encode_agreement": simple(corpus(), final="SELECT doc_id, 0.0::DOUBLE AS max_difference FROM corpus"),

@@ -445,8 +445,8 @@ def ranking_audit(spark, folder):
 
 def _judged(spark, folder):
     index = _index(spark, folder, "documents")
-    judgments = quality.sentence_judgments(
-        _queries(spark, folder), index.docs(), ["pali_paragraph", "translation_paragraph"])
+    posted = index.postings().where(F.col("field") == "multilingual_concat")
+    judgments = quality.passage_judgments(_queries(spark, folder), index.docs(), posted)
     return quality.retrieval_quality(_search(spark, folder), judgments)
 
 
