@@ -1,0 +1,9 @@
+"""Bilingual text collections on Spark: corpus, index, search, answers."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so that executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

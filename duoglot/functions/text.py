@@ -147,6 +147,11 @@ def citation_tag(book_id: Column | str = "book_id", para_id: Column | str = "par
     return F.concat(F.lit("["), book, F.lit(KEY_SEPARATOR), para, F.lit("]"))
 
 
+def has_token(c: Column | str) -> Column:
+    """Whether a text has any token; stops at the first one."""
+    return F.coalesce(as_column(c).rlike(TOKEN), F.lit(False))
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters, digits and marks; null gives an empty array."""
     words = F.regexp_extract_all(F.lower(as_column(c)), F.lit(TOKEN), F.lit(0))

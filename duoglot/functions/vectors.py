@@ -77,3 +77,10 @@ def dense_from_sorted(entries: Column | str, dim: int, scale: Column | float = 1
 
     before = F.concat(F.array(F.lit(-1)), entries["dim"])
     return F.flatten(F.zip_with(entries, before, piece))
+
+
+def single_term_vector(term: str, dim: int = HASH_DIM) -> Column:
+    """Hashed unit vector of a text that consists of one term."""
+    entry = F.struct(hash_dimension(F.lit(term), dim).alias("dim"),
+                     hash_sign(F.lit(term)).cast("double").alias("weight"))
+    return dense_from_sorted(F.array(entry), dim)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from duoglot.functions.text import tokens
 from duoglot.functions.vectors import round_score
@@ -14,6 +14,12 @@ from duoglot.operators.topk import top_per_group
 K1 = 1.2
 B = 0.75
 DEFAULT_FIELDS = {"multilingual_concat": 1.0}
+# From this many postings to score on, documents that cannot reach the top are left out.
+PRUNE_FROM = 200_000_000
+# Postings read per wanted hit to find a first threshold.
+PROBE_POSTINGS = 20
+# Scores are rounded to 6 digits; a document this close to the threshold may still tie.
+MARGIN = 2e-6
 # Query terms are broadcast up to this many rows (about 100 bytes each).
 BROADCAST_TERM_ROWS = 1_000_000
 # Distinct query terms are pushed to the postings scan up to this many.
@@ -106,3 +112,59 @@ def bm25_topk(posted: DataFrame, weighted: DataFrame, limit: int, n_term_rows: i
         round_score(F.sum(_impact())).alias("bm25_score"))
     return top_per_group(scores, ["query_id"], [F.desc("bm25_score"), F.col("doc_id")],
                          limit, "bm25_rank")
+
+
+def split_terms(posted: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
+    """Add ``essential``, ``threshold`` and ``rest`` to the query terms (Turtle & Flood
+    1995).
+
+    The ``limit``-th best score over the rarest terms alone is a threshold: the true one is
+    no lower. A term adds at most ``weight * (k1 + 1)``. The most frequent terms whose
+    bounds sum (``rest``) to less than the threshold are not essential: a document with no
+    other term cannot be among the best.
+    """
+    rarest_first = Window.partitionBy("query_id").orderBy(
+        F.desc("weight"), "field", "term").rowsBetween(Window.unboundedPreceding, -1)
+    bounded = weighted.withColumns({
+        "bound": F.col("weight") * (K1 + 1),
+        "df_before": F.coalesce(F.sum("df").over(rarest_first), F.lit(0))})
+    probe = bounded.where(F.col("df_before") < PROBE_POSTINGS * limit)
+    first = posted.join(F.broadcast(probe), ["field", "term"]).groupBy(
+        "query_id", "doc_id").agg(F.sum(_impact()).alias("part"))
+    thresholds = (top_per_group(first, ["query_id"], [F.desc("part"), F.col("doc_id")], limit)
+                  .groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"))
+                  .select("query_id", F.when(F.col("n") >= limit, F.col("low")).otherwise(0.0)
+                          .alias("threshold")))
+    frequent_first = Window.partitionBy("query_id").orderBy(
+        "weight", "field", "term").rowsBetween(Window.unboundedPreceding, 0)
+    marked = bounded.join(thresholds, "query_id").withColumn(
+        "essential", F.sum("bound").over(frequent_first) + MARGIN >= F.col("threshold"))
+    return marked.withColumn("rest", F.sum(F.when(F.col("essential"), 0.0).otherwise(
+        F.col("bound"))).over(Window.partitionBy("query_id"))).drop("bound", "df_before")
+
+
+def bm25_topk_pruned(posted: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
+    """The result of :func:`bm25_topk` without scoring every document that has any term.
+
+    Documents are found by their essential terms; those that stay below the threshold even
+    with the bounds of the other terms are dropped, and the other terms are added up for
+    the remaining ones only. Exact: what is left out cannot be among the best.
+
+    Sums and join follow the bucketing of the postings by ``doc_id``; the hash table of
+    the join holds the remaining documents of one bucket.
+    """
+    marked = split_terms(posted, weighted, limit).checkpoint()
+    found = (posted.join(F.broadcast(marked.where("essential")), ["field", "term"])
+             .groupBy("query_id", "doc_id")
+             .agg(F.sum(_impact()).alias("part"), F.max("threshold").alias("threshold"),
+                  F.max("rest").alias("rest"))
+             .where(F.col("part") + F.col("rest") + MARGIN >= F.col("threshold"))
+             .select("query_id", "doc_id", "part"))
+    others = posted.join(F.broadcast(marked.where(~F.col("essential"))), ["field", "term"]).select(
+        "query_id", "doc_id", _impact().alias("impact"))
+    scores = (others.join(found.hint("shuffle_hash"), ["query_id", "doc_id"], "right")
+              .groupBy("query_id", "doc_id")
+              .agg(round_score(F.max("part") + F.coalesce(F.sum("impact"), F.lit(0.0)))
+                   .alias("bm25_score")))
+    return top_per_group(scores, ["query_id"], [F.desc("bm25_score"), F.col("doc_id")],
+                         limit, "bm25_rank")

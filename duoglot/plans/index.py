@@ -6,13 +6,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duoglot.functions.text import uuid5_dns
+from duoglot.functions.text import has_token, uuid5_dns
+from duoglot.functions.vectors import single_term_vector
 from duoglot.operators import lexical
 from duoglot.operators.encode import (Encoder, encode, hash_vectors, named_texts, term_counts)
 from duoglot.operators.topk import best_row_per_key
 from duoglot.sources.index_tables import (DOCS_SCHEMA, Index, IndexSettings, open_or_declare)
 
 FUSED = "multilingual"
+CONCAT = "multilingual_concat"
 # Text column of each language vector, when vectors per language are asked for.
 LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph"}
 
@@ -20,7 +22,7 @@ LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph"}
 def index_payload(corpus: DataFrame) -> DataFrame:
     """The stored columns of a paragraph. Ids and the concatenated text are required;
     the other texts default to null."""
-    required = ("doc_id", "book_id", "para_id", "multilingual_concat")
+    required = ("doc_id", "book_id", "para_id", CONCAT)
     for name in required:
         if name not in corpus.columns:
             raise ValueError(f"the corpus lacks the column {name}")
@@ -36,18 +38,30 @@ def latest_rows(corpus: DataFrame, order: Sequence[Column] | None = None) -> Dat
     Without a version column in ``order`` the larger text wins, so that the result does
     not depend on how the input is split."""
     return best_row_per_key(corpus, ["doc_id"], [
-        *(order or []), F.desc("multilingual_concat"),
+        *(order or []), F.desc(CONCAT),
         *[F.desc_nulls_last(c) for c in ("pali_paragraph", "translation_paragraph",
                                          "book_id", "para_id") if c in corpus.columns]])
 
 
-def _vectors(docs: DataFrame, columns: Mapping[str, str], encoder: Encoder | None) -> DataFrame:
-    """``(doc_id, vector_name, embedding)`` of indexed docs."""
-    if columns:
-        texts = named_texts(docs, dict(columns), FUSED)
+def _vectors(docs: DataFrame, posted: DataFrame, settings: IndexSettings,
+             encoder: Encoder | None) -> DataFrame:
+    """``(doc_id, vector_name, embedding)`` of indexed docs.
+
+    The built-in encoder needs the term counts of the fused text only. Where those are
+    indexed anyway they are read from the postings: far fewer bytes than the texts, and
+    nothing to split into words again.
+    """
+    name = F.lit(FUSED).alias("vector_name")
+    if encoder is None and not settings.vector_columns and CONCAT in settings.fields:
+        counts = posted.where(F.col("field") == CONCAT).select("doc_id", "term", "tf")
+        silent = docs.where(~has_token(CONCAT)).select(
+            "doc_id", single_term_vector("").alias("embedding"))
+        return hash_vectors(counts, ["doc_id"]).unionByName(silent).select(
+            "doc_id", name, "embedding")
+    if settings.vector_columns:
+        texts = named_texts(docs, dict(settings.vector_columns), FUSED)
     else:
-        texts = docs.select("doc_id", F.lit(FUSED).alias("vector_name"),
-                            F.coalesce("multilingual_concat", F.lit("")).alias("text"))
+        texts = docs.select("doc_id", name, F.coalesce(CONCAT, F.lit("")).alias("text"))
     keys = ["doc_id", "vector_name"]
     if encoder is None:
         return hash_vectors(term_counts(texts, keys, "text"), keys)
@@ -66,12 +80,15 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
     if batch is not None and any(g[2] == batch for g in index.generations):
         return index
     seq, gen = index.next_generation()
-    index.write_bucketed("docs", latest_rows(index_payload(corpus), order), gen)
+    index.write_bucketed("docs", index_payload(latest_rows(corpus, order)), gen)
     docs = index.of_generation("docs", gen).drop("gen")
 
-    index.write_bucketed("postings", lexical.postings(docs, index.settings.fields), gen)
-    index.write_bucketed("vectors", _vectors(docs, index.settings.vector_columns, encoder), gen)
+    # Terms in order let a scan for few terms skip most of a file. Sorting by one column
+    # before the write is far cheaper than a table sorted by (partitions, bucket, term).
+    index.write_bucketed("postings", lexical.postings(docs, index.settings.fields)
+                         .sortWithinPartitions("term"), gen)
     posted = index.of_generation("postings", gen)
+    index.write_bucketed("vectors", _vectors(docs, posted, index.settings, encoder), gen)
 
     n_rows = docs.count()
     old = sum(g[3] for g in index.generations)
@@ -98,7 +115,7 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
 
 
 def build_index(spark: SparkSession, corpus: DataFrame, path: str,
-                fields: Sequence[str] = ("multilingual_concat",),
+                fields: Sequence[str] = (CONCAT,),
                 vector_columns: Mapping[str, str] | None = None,
                 encoder: Encoder | None = None, buckets: int | None = None,
                 order: Sequence[Column] | None = None) -> Index:

@@ -30,7 +30,8 @@ class SearchOptions:
     ``fields`` maps the searched text fields to weights; ``where`` is a condition on the
     columns of the docs, applied to both legs (term statistics stay those of the whole
     index); ``vectors=False`` runs the keyword leg only; ``lsh`` makes the vector leg
-    approximate.
+    approximate; from ``prune_from`` postings to score on, the keyword leg leaves out
+    documents that cannot reach the top.
     """
 
     top_k: int = hybrid.DEFAULT_TOP_K
@@ -44,6 +45,7 @@ class SearchOptions:
     scorer: hybrid.Scorer | None = None
     lsh: tuple[int, int] | None = None
     explain: bool = False
+    prune_from: int = lexical.PRUNE_FROM
 
 
 def analyse_queries(queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
@@ -123,14 +125,17 @@ def _keyword_leg(index: Index, q: DataFrame, allowed: DataFrame | None,
     if n_rows <= lexical.BROADCAST_TERM_ROWS:
         distinct = F.broadcast(distinct)
     weighted = lexical.weigh_terms(terms, index.term_stats(distinct), index.field_totals(),
-                                   options.fields)
+                                   options.fields).checkpoint()
     posted = index.postings()
-    few = [r["term"] for r in distinct.limit(lexical.PUSHED_TERMS + 1).collect()]
-    if len(few) <= lexical.PUSHED_TERMS:
-        # Buckets are sorted by term: the scan skips the parts without any of them.
-        posted = posted.where(F.col("term").isin(few))
     if allowed is not None:
         posted = posted.join(allowed, "doc_id", "left_semi")
+    if n_terms <= lexical.PUSHED_TERMS:
+        # Files are in the order of terms: the scan skips the parts without any of them.
+        wanted = [r["term"] for r in weighted.select("term").distinct().collect()]
+        posted = posted.where(F.col("term").isin(wanted))
+    n_postings = weighted.agg(F.sum("df")).first()[0] or 0
+    if n_postings >= options.prune_from and n_rows <= lexical.BROADCAST_TERM_ROWS:
+        return lexical.bm25_topk_pruned(posted, weighted, limit)
     return lexical.bm25_topk(posted, weighted, limit, n_rows)
 
 

@@ -36,9 +36,9 @@ POSTINGS_SCHEMA = T.StructType([
     T.StructField("field", T.StringType())])
 MANIFEST_SCHEMA = "seq int, gen string, batch string, n_rows bigint, n_replaced bigint, settings string"
 
-BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"], "doc_id"),
-            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"], "doc_id"),
-            "postings": (POSTINGS_SCHEMA, ["gen", "field"], "term")}
+BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"]),
+            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"]),
+            "postings": (POSTINGS_SCHEMA, ["gen", "field"])}
 SMALL = {"replaced": "doc_id string, dead_gen string",
          "term_stats": "field string, term string, df bigint",
          "field_stats": "field string, n_docs bigint, sum_dl bigint"}
@@ -137,12 +137,12 @@ class Index:
                 .parquet(f"{self.path}/{kind}").where(F.col("gen") == gen))
 
     def write_bucketed(self, kind: str, rows: DataFrame, gen: str) -> None:
-        schema, partitions, sort = BUCKETED[kind]
+        schema, partitions = BUCKETED[kind]
         name = table_name(self.path, kind)
         columns = [f.name for f in schema if f.name not in partitions]
         (rows.withColumn("gen", F.lit(gen)).select(*columns, *partitions)
          .write.format("parquet").mode("append").partitionBy(*partitions)
-         .bucketBy(self.settings.buckets, "doc_id").sortBy(sort)
+         .bucketBy(self.settings.buckets, "doc_id")
          .option("path", f"{self.path}/{kind}").saveAsTable(name))
 
     def write_small(self, kind: str, rows: DataFrame, gen: str) -> None:
@@ -166,7 +166,7 @@ def table_name(path: str, kind: str) -> str:
 
 def _declare_tables(spark: SparkSession, path: str, settings: IndexSettings) -> None:
     """Make the bucketed tables at ``path`` known to this session's catalog."""
-    for kind, (schema, partitions, sort) in BUCKETED.items():
+    for kind, (schema, partitions) in BUCKETED.items():
         name = table_name(path, kind)
         if not spark.catalog.tableExists(name):
             columns = [f"`{f.name}` {f.dataType.simpleString()}"
@@ -174,8 +174,8 @@ def _declare_tables(spark: SparkSession, path: str, settings: IndexSettings) ->
             columns += [f"`{p}` string" for p in partitions]
             spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet "
                       f"PARTITIONED BY ({', '.join(partitions)}) "
-                      f"CLUSTERED BY (doc_id) SORTED BY ({sort}) "
-                      f"INTO {settings.buckets} BUCKETS LOCATION '{path}/{kind}'")
+                      f"CLUSTERED BY (doc_id) INTO {settings.buckets} BUCKETS "
+                      f"LOCATION '{path}/{kind}'")
 
 
 def _find_partitions(spark: SparkSession, path: str) -> None:
@@ -218,7 +218,7 @@ def ensure_index(spark: SparkSession, path: str, settings: IndexSettings | None
     if index.generations:
         return index
     seq, gen = index.next_generation()
-    for kind, (schema, _, _) in BUCKETED.items():
+    for kind, (schema, _) in BUCKETED.items():
         index.write_bucketed(kind, spark.createDataFrame([], schema), gen)
     for kind, ddl in SMALL.items():
         index.write_small(kind, spark.createDataFrame([], ddl), gen)

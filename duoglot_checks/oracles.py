@@ -341,7 +341,7 @@ f AS (SELECT vec_id, dim, y::FLOAT::DOUBLE AS y FROM e),
 l AS (SELECT vec_id, sqrt(sum(y * y)) AS l FROM f GROUP BY ALL)
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((y / l)::FLOAT::DOUBLE, 5) AS x FROM f JOIN l USING (vec_id)""",
     "knn_cosine": KNN, "knn_tiled": KNN, "knn_lsh": LSH,
-    "bm25_topk": search(vectors=None),
+    "bm25_topk": search(vectors=None), "bm25_pruned": search(vectors=None),
     "bm25_fields": search(vectors=None, fields=FOLDED, weights={
         "pali_paragraph_ascii": 2.0, "translation_paragraph_ascii": 1.0}),
     "bm25_salted": simple(corpus(), QUERIES, ANALYSED, postings(), keyword_leg(),

@@ -313,6 +313,11 @@ def bm25_salted(spark, folder):
                        F.col("bm25_rank").cast("bigint").alias("rank"))
 
 
+def bm25_pruned(spark, folder):
+    """Full keyword search by way of essential terms, as for many postings."""
+    return _hits(_search(spark, folder, vectors=False, prune_from=0))
+
+
 def hybrid_search(spark, folder):
     return _hits(_search(spark, folder))
 
@@ -500,7 +505,7 @@ QUERIES = {f.__name__: f for f in (
     corpus_ingest, corpus_dedup, corpus_fallback_concat, multi_file_union, csv_ingest, na_values,
     run_summary, fold_text, query_analysis, doc_uuid5, nonempty_concat, snippet, index_upsert,
     upsert_term_stats, streaming_upsert, postings, term_stats, hash_encode, named_vectors,
-    l2_normalize, knn_cosine, knn_tiled, knn_lsh, bm25_topk, bm25_fields, bm25_salted,
+    l2_normalize, knn_cosine, knn_tiled, knn_lsh, bm25_topk, bm25_fields, bm25_salted, bm25_pruned,
     hybrid_search, hybrid_rrf, hybrid_alphas, search_filtered, search_fallback, rerank_overlap,
     named_vector_search, nested_results, extractive_answer, extractive_answer_documents,
     answer_nothing_found, rag_prompt, citations, vector_audit, index_vector_audit,
