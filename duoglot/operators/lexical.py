@@ -22,8 +22,9 @@ PROBE_POSTINGS = 20
 MARGIN = 2e-6
 # Query terms are broadcast up to this many rows (about 100 bytes each).
 BROADCAST_TERM_ROWS = 1_000_000
-# Distinct query terms are pushed to the postings scan up to this many.
-PUSHED_TERMS = 2_000
+# A query table of up to this many terms pushes them to the postings scan; with more,
+# hardly a part of a file is without any of them.
+PUSHED_TERMS = 200
 
 
 def postings(docs: DataFrame, fields: Sequence[str] = ("multilingual_concat",)) -> DataFrame:

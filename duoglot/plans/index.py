@@ -19,6 +19,10 @@ CONCAT = "multilingual_concat"
 LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph"}
 
 
+def _shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def index_payload(corpus: DataFrame) -> DataFrame:
     """The stored columns of a paragraph. Ids and the concatenated text are required;
     the other texts default to null."""
@@ -80,7 +84,11 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
     if batch is not None and any(g[2] == batch for g in index.generations):
         return index
     seq, gen = index.next_generation()
-    index.write_bucketed("docs", index_payload(latest_rows(corpus, order)), gen)
+    rows = index_payload(latest_rows(corpus, order))
+    if index.settings.buckets != _shuffle_partitions(index.spark):
+        # Otherwise the rows already arrive as one task per bucket.
+        rows = rows.repartition(index.settings.buckets, "doc_id")
+    index.write_bucketed("docs", rows, gen)
     docs = index.of_generation("docs", gen).drop("gen")
 
     # Terms in order let a scan for few terms skip most of a file. Sorting by one column
@@ -122,11 +130,12 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
     """Create the index at ``path`` if there is none and add ``corpus`` to it.
 
     ``buckets`` should bring a bucket of the postings to a few hundred MB; it defaults to
-    the session's shuffle partitions, with which the tables are written without an extra
-    shuffle. ``vector_columns`` (name → text column) adds a vector per language to the
+    the session's shuffle partitions (with which the docs are written without an extra
+    shuffle), but to no more than four per core. ``vector_columns`` (name → text column) adds a vector per language to the
     fused one.
     """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(_shuffle_partitions(spark),
+                             4 * spark.sparkContext.defaultParallelism)
     settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}))
     return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder)
 

@@ -14,7 +14,7 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Query terms are pushed to the postings scan as an IN list; the default of 10
     # would turn a longer list into a plain min/max range.
-    "spark.sql.parquet.pushdown.inFilterThreshold": "2000",
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
     # Tables bucketed by doc_id also serve joins on (query_id, doc_id) without a shuffle.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
