@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -96,7 +97,6 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
     index.write_bucketed("postings", lexical.postings(docs, index.settings.fields)
                          .sortWithinPartitions("term"), gen)
     posted = index.of_generation("postings", gen)
-    index.write_bucketed("vectors", _vectors(docs, posted, index.settings, encoder), gen)
 
     n_rows = docs.count()
     old = sum(g[3] for g in index.generations)
@@ -117,8 +117,13 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
                 .where(F.col("df") != 0))
             field_stats = field_stats.unionByName(lexical.field_statistics(gone).select(
                 "field", (-F.col("n_docs")).alias("n_docs"), (-F.col("sum_dl")).alias("sum_dl")))
-    index.write_small("term_stats", term_stats, gen)
-    index.write_small("field_stats", field_stats, gen)
+    # Independent of each other: their tasks share the cluster.
+    with ThreadPoolExecutor() as jobs:
+        for job in (jobs.submit(index.write_bucketed, "vectors", _vectors(
+                        docs, posted, index.settings, encoder), gen),
+                    jobs.submit(index.write_small, "term_stats", term_stats, gen),
+                    jobs.submit(index.write_small, "field_stats", field_stats, gen)):
+            job.result()
     return index.finish(seq, gen, batch, n_rows, n_replaced)
 
 

@@ -87,7 +87,10 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
                     F.count_if(F.col("embedding").isNotNull() & (F.col("alpha_used") == 0))
                     .alias("fallback")).first()
     limit = max(hybrid.MIN_CANDIDATES, profile["k"] or 0)
-    allowed = None if options.where is None else index.docs().where(options.where).select("doc_id")
+    allowed = None
+    if options.where is not None:
+        # Bucketed like postings and vectors: joined bucket by bucket, without sorting those.
+        allowed = index.docs().where(options.where).select("doc_id").hint("shuffle_hash")
 
     keyword = _keyword_leg(index, q.where(F.col("alpha_used") < 1), allowed, options, limit,
                            profile["terms"] or 0)
