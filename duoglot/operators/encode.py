@@ -83,8 +83,7 @@ def encode(df: DataFrame, text_col: str, encoder: Encoder, id_col: str | None =
     groups = keyed.groupBy("_digest").agg(
         F.first(text).alias("_text"), F.count(F.lit(1)).alias("_copies"))
     vectors = _apply(groups, F.col("_text"), encoder, on_empty, normalize, output)
-    copies = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"))
-    hot = hot_keys(copies, ["_digest"], "_copies", df.count(), rows_per_split)
+    hot = hot_keys(groups.select("_digest", "_copies"), ["_digest"], "_copies", df.count(), rows_per_split)
     spread_by = id_col or df.columns[0]
     return (salted_join(keyed, vectors.select("_digest", output), ["_digest"], spread_by, hot)
             .drop("_digest"))

@@ -123,6 +123,19 @@ def test_filter_applies_to_both_legs(spark, index):
     assert {h["book_id"] for h in hits[0]} == {"book_1"}
 
 
+def test_no_queries_give_no_hits_and_no_answers(spark, index):
+    none = spark.createDataFrame([], "query_id long, query string")
+    assert plan.search(index, none).count() == 0
+    assert plan.answer(index, none).count() == 0
+
+
+def test_a_query_without_words_still_has_vector_hits(spark, index):
+    hits = by_query(plan.search(index, asked(spark, "…", "")))
+    assert len(hits[0]) == len(hits[1]) == len(PARAGRAPHS)
+    nothing = plan.answer(index, asked(spark, "…"), SearchOptions(vectors=False)).first()
+    assert nothing["answer"] == "No matching passages found for: …" and nothing["citations"] == []
+
+
 def test_named_vector(spark, index):
     hits = by_query(plan.search(index, asked(spark, "Appamādo amatapadaṃ"), SearchOptions(alpha=1.0, vector_name="pali")))[0]
     assert hits[0]["doc_id"] == "book_2:p3" and hits[0]["score"] == 1.0 and hits[0]["vector_score"] == 1.0

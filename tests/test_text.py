@@ -3,7 +3,6 @@ import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from duoglot.functions import text
 

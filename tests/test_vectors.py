@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from duoglot.functions import vectors
 from duoglot.operators import encode, knn, quality
