@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duoglot.llm import byte_bpe, packing, token_counts
+from duoglot.llm import byte_bpe, packing, quality, token_counts
 from duoglot.llm.common import table
 
 
@@ -15,6 +15,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.PATTERN, specials=("<|endoftext|>",), limit=512)
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    rules = quality.quality_rules(documents, table(spark, folder, "labels"))
+    return quality.judge(documents, rules)
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"),
                                   public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
