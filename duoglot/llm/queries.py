@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duoglot.llm import byte_bpe, packing, quality, token_counts
+from duoglot.llm import byte_bpe, chat_format, language_id, packing, quality, token_counts
 from duoglot.llm.common import table
 
 
@@ -32,5 +32,23 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, path))
 
 
+def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = table(spark, folder, "conversations").selectExpr(
+        "CAST(conv_id AS bigint) AS conv_id", "CAST(turn AS bigint) AS turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], said.schema)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    formatted = chat_format.format_turns(said.unionByName(more), path, public_tokenizers.PATTERN)
+    return chat_format.read_back(formatted, path, public_tokenizers.PATTERN)
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    fold = language_id.fold_of()
+    model = language_id.train(documents.where(fold != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = documents.select("doc_id", (fold == 2).alias("held_out"), "text")
+    return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
