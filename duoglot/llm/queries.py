@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duoglot.llm import byte_bpe, chat_format, language_id, packing, quality, token_counts
+from duoglot.llm import byte_bpe, chat_format, language_id, packing, quality, substring_dedup, token_counts
 from duoglot.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substring_dedup.cut_passages(table(spark, folder, "documents"), length=50)
+    # Only single spaces join the kept words, also where nothing was removed.
+    words = F.filter(F.split("kept_text", "[ \\t-\\r]+"), lambda w: w != "")
+    return cut.select("doc_id", "n_words", "n_removed",
+                      F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
