@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duoglot.llm import byte_bpe, chat_format, language_id, near_dedup, packing, quality, substring_dedup, token_counts
+from duoglot.llm import byte_bpe, chat_format, language_id, multi_index, near_dedup, packing, quality, substring_dedup, token_counts
 from duoglot.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return multi_index.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), threshold=0.8, size=4)
 
