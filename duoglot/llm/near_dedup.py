@@ -262,7 +262,7 @@ def other_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, measu
             .join(measured.select("a", "b"), ["a", "b"], "left_anti"))
 
 
-def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 4, id_col: str = "doc_id",
+def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``documents``.
 

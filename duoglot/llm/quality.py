@@ -207,5 +207,5 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The kept rows with all their columns."""
-    judged = measured(documents.withColumn("_text", F.col("text")), "_text")
-    return judged.where(verdict(rules)).select(*documents.columns)
+    rows = documents.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    return measured(rows, "_text").where(verdict(rules)).select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duoglot.llm import byte_bpe, chat_format, language_id, multi_index, near_dedup, packing, quality, substring_dedup, token_counts
+from duoglot.llm import byte_bpe, chat_format, language_id, multi_index, near_dedup, packing, page_text, quality, substring_dedup, token_counts
 from duoglot.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         public_tokenizers.PATTERN, specials=("<|endoftext|>",), limit=512)
 
 
+def op3_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(table(spark, folder, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     rules = quality.quality_rules(documents, table(spark, folder, "labels"))
