@@ -297,7 +297,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     if not more.isEmpty():
         again = similarities(more, documents, size, id_col, text_col)
         labels = connected_components(links.unionByName(again.where(linked).select("a", "b")))
-    component = F.coalesce("component", "class_doc", "doc")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "class_doc", "doc"))
     return (member.join(labels, F.col("class_doc") == F.col("id"), "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                     F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept")))
