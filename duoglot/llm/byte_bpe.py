@@ -2,11 +2,10 @@
 
 1. Texts are cut into pre-tokens. A block of some MB of text becomes one row: its distinct
    pre-tokens, and for every position the number of the pre-token that stands there. The
-   blocks are stored once.
-2. The distinct pre-tokens of all blocks are made distinct again by a shuffle, and each one
-   is encoded once.
-3. Ids are joined back to the words of each block, and by block to the positions, where the
-   ids of every text are put together in order.
+   blocks are shuffled once; both of the following read that shuffle.
+2. The distinct pre-tokens of all blocks are shuffled by the hash of the word, so that each is
+   encoded once; ids go back to the blocks that have the word.
+3. Joined by block, the ids of every text are put together by position.
 4. Decoding joins ids with the table of token bytes, whose size the vocabulary fixes.
 """
 
@@ -14,15 +13,20 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from duoglot.llm.common import chunks, stored
+from duoglot.llm.common import chunks
+
+BLOCK_BYTES = 4 << 20  # of text in a block: memory of a task, not a limit on texts
+REMEMBERED = 500_000   # distinct words whose ids a task holds at once
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,18 +76,46 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def text_blocks(documents: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    """``(block, ids, lengths, codes, words)``: texts as numbers of their block's words."""
+def pack_words(words: list[bytes]) -> bytes:
+    sizes = np.array([len(words), *map(len, words)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(3).compress(sizes + b"".join(words))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    count = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", count, 4), dtype=np.int64) + 4 * (count + 1)
+    starts = np.append(4 * (count + 1), ends[:-1])
+    return [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Low bytes of all numbers, then the next ones: high bytes are nearly all zero."""
+    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(3).compress(planes)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def text_blocks(documents: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str) -> DataFrame:
+    """``(block, ids, lengths, codes, word_buckets, packs)``: texts as numbers of their block's
+    words, the most frequent first, and the words by the bucket of their hash.
+
+    A block's name is a hash of its content: should a lost task be run again over rows in another
+    order, its blocks have other names and cannot be mixed up.
+    """
     id_type = documents.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)),
-        T.StructField("lengths", T.ArrayType(T.LongType())),
-        T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+        T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()),
+        T.StructField("word_buckets", T.BinaryType()), T.StructField("packs", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(pattern)
-        block = TaskContext.get().partitionId() << 32
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", BLOCK_BYTES):
             numbers: dict[str, int] = {}
             lengths, codes = [], []
             for text in part.column("text").to_pylist():
@@ -93,32 +125,66 @@ def text_blocks(documents: DataFrame, pattern: str, id_col: str, text_col: str)
                 lengths.append(len(found))
                 codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
             flat = np.concatenate(codes)
-            # Two bytes a position where the block's words allow it, four otherwise.
-            flat = flat.astype("<u2" if len(numbers) <= 1 << 16 else "<u4")
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            names = [name.encode() for name in numbers]
+            names = [names[i] for i in order]
+            where = np.array([zlib.crc32(name) % buckets for name in names], np.uint32)
+            lists: list[list[bytes]] = [[] for _ in range(buckets)]
+            for name, bucket in zip(names, where.tolist()):
+                lists[bucket].append(name)
+            ids, sequence = part.column("id").to_pylist(), pack_numbers(place[flat])
+            packs = [pack_words(x) for x in lists]
+            name = xxhash.xxh3_64_intdigest(sequence + repr((ids, lengths)).encode() + b"".join(packs))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([part.column("id").to_pylist()],
-                                             pa.list_(part.column("id").type)),
-                 pa.array([lengths], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary()),
-                 pa.array([list(numbers)], pa.list_(pa.string()))],
-                names=["block", "ids", "lengths", "codes", "words"])
-            block += 1
+                [pa.array([name - (1 << 63)]), pa.array([ids], pa.list_(part.column("id").type)),
+                 pa.array([lengths], pa.list_(pa.int64())), pa.array([sequence], pa.binary()),
+                 pa.array([pack_numbers(where)], pa.binary()), pa.array([packs], pa.list_(pa.binary()))],
+                names=schema.names)
 
     return (documents.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
             .mapInArrow(run, schema))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``(word, ids)`` for distinct words; ``ids`` are little-endian 32-bit numbers."""
+def block_words(blocks: DataFrame) -> DataFrame:
+    """``(block, bucket, pack)``. Takes whole blocks, so that the shuffle of the blocks is the
+    same one that the assembly reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
         for batch in batches:
-            ids = [np.array(merge(word.encode(), ranks), "<u4").tobytes()
-                   for word in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())],
-                                             names=["word", "ids"])
+            for block, packs in zip(batch.column("block").to_pylist(), batch.column("packs").to_pylist()):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(packs), pa.int64()), pa.array(range(len(packs)), pa.int32()),
+                     pa.array(packs, pa.binary())], names=["block", "bucket", "pack"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return blocks.mapInArrow(run, "block long, bucket int, pack binary")
+
+
+def encode_words(packs: DataFrame, path: str) -> DataFrame:
+    """``(block, bucket, sizes, ids)``: ids of the words of each pack. ``packs`` has a bucket's
+    packs in one partition, so that each distinct word is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, known = read_ranks(path), {}
+        for batch in batches:
+            sizes, ids = [], []
+            for pack in batch.column("pack").to_pylist():
+                if len(known) > REMEMBERED:
+                    known = {}
+                found = []
+                for word in unpack_words(pack):
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = tuple(merge(word, ranks))
+                    found.append(own)
+                sizes.append(pack_numbers(np.array([len(x) for x in found], np.uint32)))
+                ids.append(pack_numbers(np.array([i for x in found for i in x], np.uint32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("bucket"), pa.array(sizes, pa.binary()),
+                 pa.array(ids, pa.binary())], names=["block", "bucket", "sizes", "ids"])
+
+    return packs.mapInArrow(run, "block long, bucket int, sizes binary, ids binary")
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -134,43 +200,37 @@ def encode(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     ``token_ids`` holds little-endian 32-bit ids. A null or empty text has no ids. Repeated
     and null ids stay as rows of their own; other columns are not read.
     """
-    id_type = documents.schema[id_col].dataType
-    blocks = stored(text_blocks(documents, pattern, id_col, text_col), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    table = encode_words(words.select("word").distinct(), path)
-    # A block's words are bounded by the block's size, so the list is too.
-    joined = (words.join(table, "word").groupBy("block")
-              .agg(F.collect_list(F.struct("code", "ids")).alias("table")))
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()),
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = text_blocks(documents, pattern, 2 * parts, id_col, text_col).repartition(parts, "block")
+    tables = encode_words(block_words(blocks).repartition(parts, "bucket"), path)
+    schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType),
+                           T.StructField("n_tokens", T.LongType()),
                            T.StructField("token_ids", T.BinaryType())])
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                entries = batch.column("table")[row].values
-                size = len(entries) if entries is not None else 0
-                sizes, encoded = np.zeros(size, np.int64), [b""] * size
-                if size:
-                    codes = entries.field("code").to_numpy(zero_copy_only=False)
-                    for code, ids in zip(codes, entries.field("ids").to_pylist()):
-                        encoded[code] = ids
-                    sizes[:] = [len(ids) // 4 for ids in encoded]
-                ids = np.frombuffer(b"".join(encoded), "<u4")
-                starts = np.cumsum(sizes) - sizes
-                flat = np.frombuffer(batch.column("codes")[row].as_py(),
-                                     "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
-                lengths = np.array(batch.column("lengths")[row].as_py(), np.int64)
-                out, at = [], 0
-                for length in lengths:
-                    part = flat[at:at + length]
-                    at += length
-                    out.append(ids[spread(starts[part], sizes[part])].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[row].values, pa.array([len(x) // 4 for x in out], pa.int64()),
-                     pa.array(out, pa.binary())], names=[id_col, "n_tokens", "token_ids"])
-
-    return (blocks.select("block", "ids", "lengths", "codes").join(joined, "block", "left")
-            .select("ids", "lengths", "codes", "table").mapInArrow(assemble, schema))
+    def assemble(block: pa.Table, table: pa.Table) -> pa.Table:
+        if block.num_rows != 1:
+            raise ValueError("a block and its words differ: an input row changed between tasks")
+        bucket = unpack_numbers(block.column("word_buckets")[0].as_py())
+        sizes, starts = np.zeros(len(bucket), np.int64), np.zeros(len(bucket), np.int64)
+        flat_ids, filled = [], 0
+        for at, sizes_, ids_ in zip(*(table.column(c).to_pylist() for c in ("bucket", "sizes", "ids"))):
+            codes, own = np.flatnonzero(bucket == at), unpack_numbers(sizes_).astype(np.int64)
+            sizes[codes], starts[codes] = own, filled + np.cumsum(own) - own
+            filled += int(own.sum())
+            flat_ids.append(unpack_numbers(ids_))
+        if not sizes.all():
+            raise ValueError("a block and its words differ: an input row changed between tasks")
+        flat_ids = np.concatenate(flat_ids) if flat_ids else np.empty(0, "<u4")
+        flat, out, at = unpack_numbers(block.column("codes")[0].as_py()), [], 0
+        for length in block.column("lengths")[0].as_py():
+            part = flat[at:at + length]
+            at += length
+            out.append(flat_ids[spread(starts[part], sizes[part])].tobytes())
+        ids = block.column("ids")[0].values
+        return pa.table({id_col: ids, "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()),
+                         "token_ids": pa.array(out, pa.binary())})
+
+    return blocks.groupBy("block").cogroup(tables.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
