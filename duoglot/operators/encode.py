@@ -91,9 +91,12 @@ def encode(df: DataFrame, text_col: str, encoder: Encoder, id_col: str | None =
 
 def named_texts(corpus: DataFrame, text_columns: dict[str, str],
                 fused: str = "multilingual") -> DataFrame:
-    """``(doc_id, vector_name, text)``: one row per language column that exists, plus the
-    fused text of all non-empty ones."""
-    present = {n: c for n, c in text_columns.items() if c in corpus.columns}
+    """``(doc_id, vector_name, text)``: one row per language column, plus the fused text of
+    all non-empty ones. A column that the corpus lacks is an error."""
+    absent = sorted(set(text_columns.values()) - set(corpus.columns))
+    if absent:
+        raise ValueError(f"no such text columns: {', '.join(absent)}")
+    present = text_columns
     named = [F.struct(F.lit(n).alias("vector_name"),
                       F.coalesce(F.col(c), F.lit("")).alias("text"))
              for n, c in present.items()]

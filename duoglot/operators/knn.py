@@ -211,7 +211,8 @@ def hyperplane_codes(vector: Column | str, tables: int, bits: int) -> Column:
         sides = (matrix @ planes[width].T >= 0).reshape(len(matrix), tables, bits)
         return pd.Series(list((sides @ (1 << np.arange(bits)[::-1])).astype(np.int32)))
 
-    return codes(F.col(vector) if isinstance(vector, str) else vector)
+    # Marked so that a later explode does not compute the codes a second time.
+    return codes.asNondeterministic()(F.col(vector) if isinstance(vector, str) else vector)
 
 
 def knn_topk(queries: DataFrame, docs: DataFrame, limit: int, skip_same: bool = False,

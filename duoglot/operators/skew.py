@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more than this share of the rows, so there are at most
-# 1 / HOT_SHARE hot keys however large the table is: safe to broadcast.
-HOT_SHARE = 0.001
+# A key is hot when it holds more rows than one task should; there is at most one hot key
+# for as many rows of the table, so the list is a millionth of it: safe to broadcast.
 ROWS_PER_SPLIT = 1_000_000
 
 
@@ -16,10 +15,9 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str, total: int,
              rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
     """Keys to split and into how many parts: ``(keys…, splits)``.
 
-    ``counts`` has one row per key. At most 1 / HOT_SHARE rows come out.
+    ``counts`` has one row per key. At most total / rows_per_split rows come out.
     """
-    floor = max(rows_per_split, int(total * HOT_SHARE))
-    return (counts.where(F.col(count_col) > floor)
+    return (counts.where(F.col(count_col) > rows_per_split)
             .select(*keys, F.ceil(F.col(count_col) / rows_per_split).cast("int").alias("splits")))
 
 

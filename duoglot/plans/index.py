@@ -7,9 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from duoglot.config import CorpusConfig
 from duoglot.functions.text import has_token, uuid5_dns
 from duoglot.functions.vectors import single_term_vector
 from duoglot.operators import lexical
+from duoglot.operators.corpus import FOLDED_SUFFIX
 from duoglot.operators.encode import (Encoder, encode, hash_vectors, named_texts, term_counts)
 from duoglot.operators.topk import best_row_per_key
 from duoglot.sources.index_tables import (DOCS_SCHEMA, Index, IndexSettings, open_or_declare)
@@ -17,7 +19,8 @@ from duoglot.sources.index_tables import (DOCS_SCHEMA, Index, IndexSettings, ope
 FUSED = "multilingual"
 CONCAT = "multilingual_concat"
 # Text column of each language vector, when vectors per language are asked for.
-LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph"}
+LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph",
+                    "zh": "chinese_paragraph", "ru": "russian_paragraph"}
 
 
 def _shuffle_partitions(spark: SparkSession) -> int:
@@ -26,14 +29,22 @@ def _shuffle_partitions(spark: SparkSession) -> int:
 
 def index_payload(corpus: DataFrame) -> DataFrame:
     """The stored columns of a paragraph. Ids and the concatenated text are required;
-    the other texts default to null."""
+    the other texts come from the first accepted column of their language and default to
+    null."""
     required = ("doc_id", "book_id", "para_id", CONCAT)
     for name in required:
         if name not in corpus.columns:
             raise ValueError(f"the corpus lacks the column {name}")
-    columns = [F.col(f.name).cast("string").alias(f.name) if f.name in corpus.columns
-               else F.lit(None).cast("string").alias(f.name)
-               for f in DOCS_SCHEMA if f.name != "uuid"]
+    found = CorpusConfig().resolve(corpus.columns)
+    source = {f"{name}{suffix}": f"{found[lang]}{suffix}" for lang, name in LANGUAGE_COLUMNS.items()
+              if lang in found for suffix in ("", FOLDED_SUFFIX)}
+
+    def column(name: str) -> Column:
+        chosen = name if name in corpus.columns else source.get(name)
+        kept = F.col(chosen) if chosen in corpus.columns else F.lit(None)
+        return kept.cast("string").alias(name)
+
+    columns = [column(f.name) for f in DOCS_SCHEMA if f.name != "uuid"]
     return corpus.select(uuid5_dns("doc_id").alias("uuid"), *columns)
 
 

@@ -89,8 +89,8 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
     limit = max(hybrid.MIN_CANDIDATES, profile["k"] or 0)
     allowed = None
     if options.where is not None:
-        # Bucketed like postings and vectors: joined bucket by bucket, without sorting those.
-        allowed = index.docs().where(options.where).select("doc_id").hint("shuffle_hash")
+        # Bucketed like postings and vectors: joined bucket by bucket, and able to spill.
+        allowed = index.docs().where(options.where).select("doc_id")
 
     keyword = _keyword_leg(index, q.where(F.col("alpha_used") < 1), allowed, options, limit,
                            profile["terms"] or 0)
@@ -165,14 +165,24 @@ def _no_vector_hits(q: DataFrame) -> DataFrame:
         F.lit(0).alias("vector_rank"))
 
 
-def nested_results(hits: DataFrame) -> DataFrame:
-    """One row per query: language, alpha and the array of its hits by rank."""
+def nested_results(hits: DataFrame, queries: DataFrame | None = None,
+                   options: SearchOptions | None = None) -> DataFrame:
+    """One row per query: language, alpha and the array of its hits by rank.
+
+    With ``queries`` (those of the search), also for queries without hits: their array is
+    empty and ``alpha_used`` null."""
     columns = [c for c in HIT_COLUMNS if c not in ("query_id", "query_lang", "alpha",
                                                    "alpha_used")]
-    return hits.groupBy("query_id").agg(
+    nested = hits.groupBy("query_id").agg(
         F.first("query_lang").alias("query_lang"), F.first("alpha").alias("alpha"),
         F.first("alpha_used").alias("alpha_used"),
         F.sort_array(F.collect_list(F.struct(*columns))).alias("results"))
+    if queries is None:
+        return nested
+    asked = analyse_queries(queries, options).select("query_id", "query_lang", "alpha")
+    empty = F.array().cast(nested.schema["results"].dataType)
+    return asked.join(nested.drop("query_lang", "alpha"), "query_id", "left").select(
+        "query_id", "query_lang", "alpha", "alpha_used", F.coalesce("results", empty).alias("results"))
 
 
 def answer(index: Index, queries: DataFrame, options: SearchOptions | None = None,

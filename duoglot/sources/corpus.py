@@ -25,6 +25,9 @@ def read_corpus_csv(spark: SparkSession, path: str | Sequence[str],
     paths = [path] if isinstance(path, str) else list(path)
     raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
            .option("multiLine", multi_line).option("encoding", "UTF-8").csv(paths))
+    if multi_line:
+        # One task per file ends here: cleaning and keys run on all cores.
+        raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return missing_to_null(raw, na_values)
 
 

@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 DOCS_SCHEMA = T.StructType([
     T.StructField(name, T.StringType()) for name in (
         "uuid", "doc_id", "book_id", "para_id", "pali_paragraph", "pali_paragraph_ascii",
-        "translation_paragraph", "translation_paragraph_ascii", "multilingual_concat")])
+        "translation_paragraph", "translation_paragraph_ascii", "chinese_paragraph",
+        "chinese_paragraph_ascii", "russian_paragraph", "russian_paragraph_ascii",
+        "multilingual_concat")])
 VECTORS_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),

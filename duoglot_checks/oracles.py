@@ -35,16 +35,27 @@ def uuid5(x: str) -> str:
 
 RAW = {
     "documents": """raw AS (SELECT source AS book_id, CAST(doc_id AS VARCHAR) AS para_id,
-  CASE WHEN lang <> 'en' THEN text END AS pali, CASE WHEN lang = 'en' THEN text END AS tr
+  CASE WHEN lang IS DISTINCT FROM 'en' THEN text END AS pali, CASE WHEN lang = 'en' THEN text END AS tr
   FROM documents)""",
-    "conversations": """raw AS (SELECT 'conv' || u.conv_id AS book_id, CAST(u.turn AS VARCHAR) AS para_id,
-  u.text AS pali, a.text AS tr FROM conversations u JOIN conversations a
-  ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')""",
+    "conversations": """raw AS (SELECT 'conv' || conv_id AS book_id, CAST(turn AS VARCHAR) AS para_id, pali, tr,
+  NULL::VARCHAR AS zh, NULL::VARCHAR AS ru
+  FROM (SELECT conv_id, turn, text AS pali FROM conversations WHERE role = 'user')
+  FULL JOIN (SELECT conv_id, turn - 1 AS turn, text AS tr FROM conversations WHERE role = 'assistant')
+  USING (conv_id, turn) UNION ALL
+  SELECT 'conv' || conv_id, 'other' || turn, NULL, NULL, CASE WHEN conv_id % 2 = 0 THEN text END,
+  CASE WHEN conv_id % 2 <> 0 THEN text END FROM conversations
+  WHERE role IS NULL OR role NOT IN ('user', 'assistant'))""",
 }
 
 
 def corpus(kind: str = "documents") -> str:
+    if kind == "conversations":
+        return f"""{RAW[kind]},
+corpus AS (SELECT book_id, para_id, book_id || ':' || para_id AS doc_id, p AS pali_paragraph,
+  t AS translation_paragraph, z AS chinese_paragraph, r AS russian_paragraph,
+  coalesce(p, '') || {SEP} || coalesce(t, '') || {SEP} || coalesce(z, '') || {SEP} || coalesce(r, '')
+    AS multilingual_concat FROM (SELECT book_id, para_id, {nfc('pali')} AS p, {nfc('tr')} AS t,
+  {nfc('zh')} AS z, {nfc('ru')} AS r FROM raw))"""
     return f"""{RAW[kind]},
 corpus AS (SELECT book_id, para_id, book_id || ':' || para_id AS doc_id,
   p AS pali_paragraph, t AS translation_paragraph,
@@ -274,10 +285,16 @@ NOTHING = f"""q0 AS (SELECT query_id, query, {lang('query')} AS query_lang, 0.5:
   0.0::DOUBLE AS alpha_used FROM (SELECT item_id AS query_id,
   CASE WHEN item_id % 2 = 0 THEN md5(text) ELSE text END AS query FROM benchmark))"""
 
+SHORT = f"""q0 AS (SELECT query_id, query, {lang('query')} AS query_lang, 0.5::DOUBLE AS alpha, 10 AS top_k,
+  0.5::DOUBLE AS alpha_used FROM (SELECT item_id AS query_id, regexp_extract(text,
+  CASE WHEN item_id % 2 = 0 THEN '^[^ ]+ [^ ]+' ELSE '^[^ ]+' END) AS query FROM benchmark))"""
+
 NAMED = f"""named AS (SELECT doc_id, 'pali' AS vector_name, coalesce(pali_paragraph, '') AS txt FROM corpus
   UNION ALL SELECT doc_id, 'en', coalesce(translation_paragraph, '') FROM corpus
+  UNION ALL SELECT doc_id, 'zh', coalesce(chinese_paragraph, '') FROM corpus
+  UNION ALL SELECT doc_id, 'ru', coalesce(russian_paragraph, '') FROM corpus
   UNION ALL SELECT doc_id, 'multilingual', concat_ws({SEP}, nullif(pali_paragraph, ''),
-    nullif(translation_paragraph, '')) FROM corpus)"""
+    nullif(translation_paragraph, ''), nullif(chinese_paragraph, ''), nullif(russian_paragraph, '')) FROM corpus)"""
 
 FOLDED = {"pali_paragraph_ascii": "strip_accents(pali_paragraph)",
           "translation_paragraph_ascii": "strip_accents(translation_paragraph)"}
@@ -295,7 +312,7 @@ ORACLES = {
   6::BIGINT AS n_columns FROM documents""",
     "multi_file_union": f"""WITH c AS (SELECT source || ':' || doc_id AS doc_id,
   {nfc("CASE WHEN lang = 'en' THEN text END")} AS english_paragraph,
-  {nfc("CASE WHEN lang <> 'en' THEN text END")} AS pali_text FROM documents)
+  {nfc("CASE WHEN lang IS DISTINCT FROM 'en' THEN text END")} AS pali_text FROM documents)
 SELECT *, pali_text AS pali_paragraph, english_paragraph AS translation_paragraph,
   coalesce(pali_text, '') || {SEP} || coalesce(english_paragraph, '') AS multilingual_concat FROM c""",
     "csv_ingest": simple(corpus(), final="""SELECT doc_id, book_id, para_id, pali_paragraph,
@@ -317,7 +334,7 @@ FROM (SELECT *, {lang('query')} AS query_lang FROM (SELECT 'q' || item_id AS que
   CASE WHEN role = 'user' THEN text END AS u, CASE WHEN role = 'assistant' THEN text END AS a
   FROM conversations)""",
     "snippet": f"""WITH {RAW['conversations'].replace('raw AS', 'c AS')}, {RAW['documents']},
-r AS (SELECT * FROM c UNION ALL SELECT * FROM raw)
+r AS (SELECT book_id, para_id, pali, tr FROM c UNION ALL SELECT * FROM raw)
 SELECT book_id, para_id, {TAG} AS tag,
   concat_ws({SEP}, nullif(pali, ''), nullif(tr, '')) AS snippet FROM r""",
     "index_upsert": simple(corpus(), REVISED, final=f"""SELECT {uuid5('doc_id')} AS uuid, doc_id, book_id,
@@ -354,13 +371,26 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((y / l)::FLOAT::DOUBLE, 5) AS x
         "qsrc AS (SELECT query_id, vector_text FROM q WHERE vector_text IS NOT NULL),\n"
         + hashed("qv", "qsrc", "query_id", "vector_text"))),
     "rerank_overlap": search(kind="conversations", hits=RERANKED_HITS,
-                             doc_text=f"concat_ws({SEP}, nullif(pali_paragraph, ''), "
-                             "nullif(translation_paragraph, ''))"),
+                             doc_text="multilingual_concat"),
     "named_vector_search": search(kind="conversations", doc_text="coalesce(pali_paragraph, '')",
                                   queries=QUERIES.replace("0.5::DOUBLE", "1.0::DOUBLE")),
     "nested_results": search(final="""SELECT query_id, query_lang, alpha,
   to_json(list({'rank': CAST(rank AS INT), 'doc_id': doc_id, 'score_type': score_type} ORDER BY rank))::VARCHAR
   AS results FROM hits GROUP BY ALL"""),
+    "nested_results_all": search(queries=NOTHING, vectors=None, final="""SELECT q.query_id, q.query_lang,
+  count(doc_id) AS n_results, coalesce(string_agg(doc_id, ' ' ORDER BY rank), '') AS doc_ids
+  FROM q LEFT JOIN hits USING (query_id) GROUP BY ALL"""),
+    "retrieval_quality_short": search(queries=SHORT, more=PASSAGES, final="SELECT * FROM quality"),
+    "search_explain": search(final="""SELECT query_id, doc_id, bm25_score::DOUBLE AS bm25_score,
+  vector_score::DOUBLE AS vector_score, score::DOUBLE AS hybrid_score FROM hits"""),
+    "generator_answers": search(kind="conversations", more=ANSWER_PARTS,
+                                final="SELECT query_id, lang, md5(prompt) AS answer FROM answers"),
+    "encode_empty_texts": simple("""t AS (SELECT doc_id, CASE WHEN doc_id % 7 > 1 THEN text ELSE '' END AS txt
+  FROM documents)""", hashed("v", "t", "doc_id", "txt"),
+                                 final="SELECT doc_id, dim, round(x, 6) AS weight FROM v"),
+    "ensure_index": simple(corpus(), final=f"""SELECT {uuid5('doc_id')} AS uuid, doc_id,
+  md5(multilingual_concat) AS text_md5 FROM corpus"""),
+    "compact_index": simple(corpus(), REVISED, postings("final"), final="SELECT term, df FROM df"),
     "extractive_answer": search(kind="conversations", more=ANSWER_PARTS, final=ANSWERS),
     "extractive_answer_documents": search(more=ANSWER_PARTS, final=ANSWERS),
     "answer_nothing_found": search(kind="conversations", queries=NOTHING, vectors=None,

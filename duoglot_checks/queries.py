@@ -19,7 +19,7 @@ from duoglot.plans import index as index_plan, ingest, search as search_plan
 from duoglot.plans.search import SearchOptions
 from duoglot.session import work_folder
 from duoglot.sources import adapters, corpus as corpus_source
-from duoglot.sources.index_tables import Index, open_index
+from duoglot.sources.index_tables import Index, ensure_index as create_if_absent, open_index
 from duoglot.streaming.upsert import stream_upsert
 
 ASCII = CorpusConfig(ascii_columns=True)
@@ -114,8 +114,8 @@ def multi_file_union(spark, folder):
     """English and other texts as two files with different, aliased columns."""
     documents = _documents(spark, folder)
     ids = [F.col("source").alias("book_id"), F.col("doc_id").cast("string").alias("para_id")]
-    english = documents.where("lang = 'en'").select(*ids, F.col("text").alias("english_paragraph"))
-    others = documents.where("lang <> 'en'").select(*ids, F.col("text").alias("pali_text"))
+    english = documents.where("lang <=> 'en'").select(*ids, F.col("text").alias("english_paragraph"))
+    others = documents.where("NOT lang <=> 'en'").select(*ids, F.col("text").alias("pali_text"))
     raw = corpus_source.union_corpora([english, others])
     return corpus_ops.build_corpus(raw).select(
         "doc_id", "english_paragraph", "pali_text", "pali_paragraph", "translation_paragraph",
@@ -184,7 +184,7 @@ def nonempty_concat(spark, folder):
 
 
 def snippet(spark, folder):
-    raw = _conversations(spark, folder).unionByName(_raw(spark, folder))
+    raw = _conversations(spark, folder).unionByName(_raw(spark, folder), allowMissingColumns=True)
     return raw.select("book_id", "para_id", text.citation_tag().alias("tag"),
                       text.snippet("pali_paragraph", "translation_paragraph").alias("snippet"))
 
@@ -249,8 +249,8 @@ def hash_encode(spark, folder):
 def named_vectors(spark, folder):
     index = _index(spark, folder, "conversations")
     rows = [index.vectors(n).withColumn("vector_name", F.lit(n))
-            for n in ("pali", "en", "multilingual")]
-    return _sparse(rows[0].unionByName(rows[1]).unionByName(rows[2]), "doc_id", "vector_name")
+            for n in (*index_plan.LANGUAGE_COLUMNS, index_plan.FUSED)]
+    return _sparse(corpus_source.union_corpora(rows), "doc_id", "vector_name")
 
 
 def l2_normalize(spark, folder):
@@ -373,6 +373,20 @@ def nested_results(spark, folder):
                                       r["score_type"].alias("score_type")))).alias("results"))
 
 
+def nested_results_all(spark, folder):
+    """Every second query finds nothing, and has a row all the same."""
+    asked = _nothing_found(spark, folder)
+    hits = _search(spark, folder, queries=asked, vectors=False)
+    nested = search_plan.nested_results(hits, asked)
+    return nested.select("query_id", "query_lang", F.size("results").cast("bigint").alias("n_results"),
+                         F.array_join(F.col("results")["doc_id"], " ").alias("doc_ids"))
+
+
+def search_explain(spark, folder):
+    hits = _search(spark, folder, explain=True)
+    return hits.select("query_id", "doc_id", "explain.bm25_score", "explain.vector_score", "explain.hybrid_score")
+
+
 # --- answers ------------------------------------------------------------------------
 
 def _answers(spark, folder, kind, queries=None):
@@ -388,13 +402,22 @@ def extractive_answer_documents(spark, folder):
     return _answers(spark, folder, "documents").select("query_id", "lang", "answer")
 
 
-def answer_nothing_found(spark, folder):
-    """Queries without a vector whose words do not occur, next to ones that find something."""
-    asked = _queries(spark, folder).select(
+def generator_answers(spark, folder):
+    """A plugged-in generator; what it makes of a prompt is checked by the digest."""
+    return search_plan.answer(_index(spark, folder, "conversations"), _queries(spark, folder),
+                              generator=F.md5).select("query_id", "lang", "answer")
+
+
+def _nothing_found(spark, folder):
+    return _queries(spark, folder).select(
         "query_id", F.when(F.col("query_id") % 2 == 0, F.md5("query"))
         .otherwise(F.col("query")).alias("query"))
+
+
+def answer_nothing_found(spark, folder):
+    """Queries without a vector whose words do not occur, next to ones that find something."""
     index = _index(spark, folder, "conversations")
-    return search_plan.answer(index, asked, SearchOptions(vectors=False)).select(
+    return search_plan.answer(index, _nothing_found(spark, folder), SearchOptions(vectors=False)).select(
         "query_id", "lang", "answer", F.size("citations").cast("bigint").alias("n_citations"))
 
 
@@ -403,7 +426,8 @@ def rag_prompt(spark, folder):
 
 
 def citations(spark, folder):
-    hits = answers.display_texts(_search(spark, folder, "conversations", top_k=15))
+    # Read twice below: searched once.
+    hits = answers.display_texts(_search(spark, folder, "conversations", top_k=15)).checkpoint()
     texts = hits.select("query_id", "rank", "hit_label", "citation_text")
     cited = answers.assemble_answers(
         _queries(spark, folder).withColumn("query_lang", text.detect_lang("query")), hits)
@@ -459,6 +483,16 @@ def retrieval_quality(spark, folder):
     return _judged(spark, folder)
 
 
+def retrieval_quality_short(spark, folder):
+    """Queries of one and two words, which many documents contain."""
+    words = F.when(F.col("query_id") % 2 == 0, "^[^ ]+ [^ ]+").otherwise("^[^ ]+")
+    asked = _queries(spark, folder).select("query_id", F.regexp_substr("query", words).alias("query"))
+    index = _index(spark, folder, "documents")
+    posted = index.postings().where(F.col("field") == "multilingual_concat")
+    judgments = quality.passage_judgments(asked, index.docs(), posted)
+    return quality.retrieval_quality(_search(spark, folder, queries=asked), judgments)
+
+
 def retrieval_summary(spark, folder):
     return quality.quality_summary(_judged(spark, folder))
 
@@ -501,6 +535,30 @@ def encode_agreement(spark, folder):
     return quality.encode_agreement(index.vectors(), other)
 
 
+def encode_empty_texts(spark, folder):
+    """Empty and missing texts through a plugged-in model."""
+    kept = F.when(F.col("doc_id") % 7 > 1, F.col("text")).when(F.col("doc_id") % 7 == 1, F.lit(""))
+    texts = _documents(spark, folder).select("doc_id", kept.alias("text"))
+    model = predict_batch_udf(_hashing_model, return_type=T.ArrayType(T.DoubleType()),
+                              batch_size=encode.MODEL_BATCH)
+    found = encode.encode(texts, "text", model, id_col="doc_id")
+    return _sparse(found, "doc_id")
+
+
+def ensure_index(spark, folder):
+    """Create the index if absent (twice), then fill it."""
+    path = _folder(spark, "ensured")
+    create_if_absent(spark, path)
+    index = create_if_absent(spark, path)
+    filled = index_plan.upsert_index(index, corpus_ops.build_corpus(_raw(spark, folder)))
+    return filled.docs().select("uuid", "doc_id", F.md5("multilingual_concat").alias("text_md5"))
+
+
+def compact_index(spark, folder):
+    whole = index_plan.compact_index(_upserted(spark, folder), _folder(spark, "compacted"))
+    return whole.term_stats().select("term", "df")
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_ingest, corpus_dedup, corpus_fallback_concat, multi_file_union, csv_ingest, na_values,
     run_summary, fold_text, query_analysis, doc_uuid5, nonempty_concat, snippet, index_upsert,
@@ -510,4 +568,5 @@ QUERIES = {f.__name__: f for f in (
     named_vector_search, nested_results, extractive_answer, extractive_answer_documents,
     answer_nothing_found, rag_prompt, citations, vector_audit, index_vector_audit,
     pair_similarity, nearest_other, class_similarity, ranking_audit, retrieval_quality,
-    retrieval_summary, encode_agreement)}
+    retrieval_summary, encode_agreement, nested_results_all, search_explain, generator_answers,
+    retrieval_quality_short, encode_empty_texts, ensure_index, compact_index)}
