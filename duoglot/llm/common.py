@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duoglot.session import work_folder
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 # Words are maximal runs of anything but these six characters, as in [^\x20\x09-\x0D]+.
 WHITE = " \t\n\x0b\x0c\r"
