@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from duoglot.llm.common import chunks, stored
 
-LETTER_RUNS = regex.compile(r"\p{L}+")
 MAX_LANGUAGES = 200
 LONG_WORD = 40  # letters; a longer run is cut into words of this length, none is left out
+LETTER_RUNS = regex.compile(r"\p{L}{1,%d}" % LONG_WORD)
 REMEMBERED = 400_000
 UNDETERMINED = "und"
 
@@ -36,11 +36,8 @@ def vocabulary(path: str, max_piece: int = 6) -> list[str]:
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Maximal runs of letters in lower case, with marks for start and end left to the model."""
-    out = []
-    for run in LETTER_RUNS.findall(text.lower()) if text else ():
-        out.extend(run[at:at + LONG_WORD] for at in range(0, len(run), LONG_WORD))
-    return out
+    """Runs of letters in lower case, longer ones in pieces of ``LONG_WORD``."""
+    return LETTER_RUNS.findall(text.lower()) if text else []
 
 
 @dataclass(frozen=True)
@@ -95,20 +92,21 @@ def word_counts(documents: DataFrame, lang_col: str = "lang", text_col: str = "t
     """``(lang, word, n)``; each task sums what it has read before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
-            langs, found = zip(*held) if held else ((), ())
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(found, pa.string()),
-                 pa.array(held.values(), pa.int64())], names=["lang", "word", "n"])
+            langs = [lang for lang, own in held.items() for _ in range(len(own))]
+            found = [word for own in held.values() for word in own]
+            counts = [n for own in held.values() for n in own.values()]
             held.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(counts, pa.int64())],
+                names=["lang", "word", "n"])
 
         for part in chunks(batches, "text"):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                held.update((lang, word) for word in letter_words(text))
-            if len(held) > REMEMBERED:
+                held.setdefault(lang, Counter()).update(letter_words(text))
+            if sum(map(len, held.values())) > REMEMBERED:
                 yield flush()
         yield flush()
 
@@ -196,22 +194,25 @@ def identify(documents: DataFrame, model: Model | None, text_col: str = "text")
                            T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value and Model(*shared.value), {}
+        model = shared.value and Model(*shared.value)
+        known: dict[str, int] = {}  # word → row of logs
+        logs = np.zeros((0, len(model.languages) if model else 0))
         for part in chunks(batches, text_col):
-            found = [Counter(letter_words(text)) if model else {}
-                     for text in part.column(text_col).to_pylist()]
+            found = [letter_words(text) if model else [] for text in part.column(text_col).to_pylist()]
             if len(known) > REMEMBERED:
-                known = {}
+                known, logs = {}, logs[:0]
             new = list(set().union(*found).difference(known))
-            known.update(zip(new, model.forward(new) if new else ()))
+            if new:
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                logs = np.concatenate([logs, model.forward(new)])
             names, scores = [], []
-            for counted in found:
-                if not counted:
+            for text in found:
+                if not text:
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                logs = np.array(list(counted.values())) @ np.array([known[w] for w in counted])
-                odds = np.exp(logs - logs.max())
+                total = logs[np.fromiter(map(known.__getitem__, text), np.int64, len(text))].sum(axis=0)
+                odds = np.exp(total - total.max())
                 best = int(odds.argmax())
                 names.append(model.languages[best])
                 scores.append(float(odds[best] / odds.sum()))
