@@ -10,21 +10,85 @@ among the pieces of equal length, in a broadcast join with the plan's slots.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
 from duoglot.llm.common import chunks, stored, words
+from duoglot.llm.token_counts import byte_letters
 
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 RANK_ROWS = 1_000_000
 
 
+class WordEncoder:
+    """Ids of a word as little-endian 32-bit numbers.
+
+    Words of printable Latin letters, digits and punctuation are cut by the tokenizer's own
+    split pattern, and each piece is merged once; all other words, and those that may hold a special string,
+    go through the whole tokenizer.
+    """
+
+    # Characters whose lower case and normal form stand for themselves alone.
+    plain = regex.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            splits = json.load(file)["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.known = self.tokenizer.model, byte_letters(), {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+
+    def pieces(self, text: str) -> list[str]:
+        if text.isalpha():
+            return [text.lower()]
+        if text[:-1].isalpha() and text[-1] in ".,":
+            return [text[:-1].lower(), text[-1]]
+        return self.split(text.lower())
+
+    def __call__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if "<|" in text or not (text.isascii() and text.isprintable() or self.plain.fullmatch(text)):
+            return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        pieces, known = self.pieces(text), self.known
+        for piece in pieces:
+            if piece not in known:
+                mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+                known[piece] = b"".join([self.packed[token.id] for token in self.model.tokenize(mapped)])
+        ids = b"".join(map(known.__getitem__, pieces))
+        if len(known) > REMEMBERED:
+            self.known = {}
+        return ids
+
+
+class Remembered(dict):
+    """Ids by word; a word that is missing is encoded. Once full, words not met since the last
+    time it was full are forgotten."""
+
+    def __init__(self, encode: WordEncoder):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: token ids of each text and then ``end_id``,
@@ -40,18 +104,9 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        known = Remembered(WordEncoder(path))
         for part in chunks(batches, "text"):
             texts = [words(text) for text in part.column("text").to_pylist()]
-            if len(known) > REMEMBERED:
-                known = {}
-            new = list(set().union(*texts).difference(known))
-            for at in range(0, len(new), 5000):
-                some = new[at:at + 5000]
-                found = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some],
-                                                    add_special_tokens=False)
-                known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, found))
             rows: list[tuple] = []
             for doc, text in zip(part.column("id").to_pylist(), texts):
                 ids = b"".join(map(known.__getitem__, text)) + end
@@ -145,7 +200,7 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 20_000,
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 1_500,
                    width: int = 3) -> list[Pattern]:
     """Patterns that use up ``counts`` (pieces by length), in as few sequences as found.
 
@@ -180,7 +235,7 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 20_000,
     return incumbent
 
 
-def pack(pieces: DataFrame, capacity: int, nodes: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, nodes: int = 1_500) -> DataFrame:
     """``pieces`` (any rows with a ``length`` from 1 to ``capacity``) with ``sequence_id``
     and ``offset``: sequences have no gaps and no overlaps.
 
