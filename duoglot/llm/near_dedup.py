@@ -9,9 +9,11 @@
    all its members are compared with its smallest id, never all with all. Pairs whose
    estimated similarity (corrected for chance collisions of registers) is far too low drop out;
    the others are confirmed on their full sets.
-4. In buckets that hold several components after that, members of different components
-   are compared too, in tiles of bounded size, unless the triangle inequality of the Jaccard distance
-   rules a link out. So no pair that meets in a bucket is left undecided.
+4. The buckets of one centre then form one star. Where it still holds several components, members outside
+   the centre's component meet all others of the star in tiles of bounded size, unless the triangle inequality
+   of the Jaccard distance rules a link out. They are decided on their full sets inside the tile, which
+   returns only the links that join components. So no pair that meets in a bucket is left
+   undecided, and members of one component are not compared again.
 5. Connected components of the confirmed links.
 """
 
@@ -33,6 +35,7 @@ ROWS = 6                        # registers in a band; 42 bands: at similarity 0
 BANDS = REGISTERS // ROWS       # meets nowhere with probability (1 - 0.8**6)**42 = 3e-6
 BROADCAST_IDS = 1_000_000
 CHUNK_ROWS = 500                # members of one star, and of one side of a tile, in a task
+CHUNK_SHINGLES = 1_000_000      # of one side of a tile, about; 8 bytes each
 
 
 def shingle_sets(texts: list[str | None], size: int = 4) -> list[np.ndarray]:
@@ -210,56 +213,126 @@ def similarities(pairs: DataFrame, documents: DataFrame, size: int, id_col: str,
             .applyInArrow(compare, "a long, b long, common long, either long"))
 
 
-def other_pairs(buckets: DataFrame, classes: DataFrame, labels: DataFrame, measured: DataFrame,
-                threshold: float) -> DataFrame:
-    """``(a, b)``: pairs of different components that meet in a bucket and may be linked.
+def member_sets(ids: DataFrame, documents: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, n, own, regs, shingles)`` of the documents in ``ids (doc)``."""
 
-    ``buckets (key, center, doc)`` with all members but the centre. Only buckets of more than one
-    component are read; each is cut into blocks of ``CHUNK_ROWS`` and compared block by block.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            sets = shingle_sets(part.column("text").to_pylist(), size)
+            regs, own = registers(sets)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int32()),
+                 pa.array([r.tobytes() for r in regs], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["doc", "n", "own", "regs", "shingles"])
+
+    texts = documents.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc", f"coalesce(`{text_col}`, '') AS text")
+    return texts.join(ids, "doc", "left_semi").mapInArrow(
+        run, "doc long, n long, own int, regs binary, shingles binary").where("n > 0")
+
+
+def tiles_of(spokes: DataFrame, classes: DataFrame, labels: DataFrame, measured: DataFrame,
+             threshold: float) -> DataFrame:
+    """``(center, outside, i, j, minor, block, doc, component, far)``: which members meet where.
+
+    A member of a star is minor if its component is not the centre's. Minor members are cut
+    into blocks; block ``i`` meets block ``j`` of the centre's component or, if ``outside``,
+    of the minor members. Members of one component never meet, so without minor members
+    there are no tiles, however large the star.
     """
-    members = buckets.select("key", "center", "doc").unionByName(
-        buckets.select("key", "center", F.col("center").alias("doc")).distinct())
-    labelled = (members.join(labels, F.col("doc") == F.col("id"), "left")
-                .select("key", "center", "doc", F.coalesce("component", "doc").alias("component")))
-    mixed_keys = (labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                              F.count("*").alias("rows"))
-                  # In a bucket of two, the only pair has been measured.
-                  .where("low < high AND rows > 2")
-                  .select("key", F.ceil(F.col("rows") / CHUNK_ROWS).cast("int").alias("blocks")))
+    members = spokes.select(F.col("a").alias("center"), F.col("b").alias("doc")).unionByName(
+        spokes.select(F.col("a").alias("center"), F.col("a").alias("doc")).distinct())
+    sizes = classes.groupBy("doc").agg(F.sum("n").alias("n"))
     distance = measured.select(F.col("a").alias("center"), F.col("b").alias("doc"),
                                (1 - F.col("common") / F.col("either")).alias("far"))
-    rows = (labelled.join(mixed_keys, "key").join(distance, ["center", "doc"], "left")
-            .join(classes.select("doc", "n", "own", "regs"), "doc")
-            .withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
-    # A row of block i goes to the tiles (i, j) and (j, i) of its bucket.
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "doc", "component", "far", "n", "own", "regs")
+    of_center = labels.select(F.col("id").alias("center_id"), F.col("component").alias("core"))
+    labelled = stored(
+        members.join(labels, F.col("doc") == F.col("id"), "left")
+        .join(of_center, F.col("center") == F.col("center_id"), "left")
+        .select("center", "doc", F.coalesce("component", "doc").alias("component"),
+                F.coalesce("core", "center").alias("core"))
+        .join(distance, ["center", "doc"], "left").join(sizes, "doc")
+        .select("center", "doc", "component", "n", "far", (F.col("component") != F.col("core")).alias("minor")),
+        "near-members")
+
+    def blocks(side: str):
+        rows, shingles = F.count_if(F.expr(side)), F.sum(F.when(F.expr(side), F.col("n")).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(rows / CHUNK_ROWS), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+    # By the triangle inequality a link needs distances to the centre that differ by 1 - threshold
+    # at most. A star of two has been measured.
+    stars = (labelled.groupBy("center").agg(
+        F.max("minor").alias("several"), F.count("*").alias("rows"),
+        F.min(F.when(F.col("minor"), F.coalesce("far", F.lit(0.0)))).alias("least_far"),
+        blocks("minor").alias("minor_blocks"), blocks("NOT minor").alias("core_blocks"))
+        .where("several AND rows > 2").drop("several", "rows"))
+    near = F.col("far").isNull() | (F.col("far") >= F.col("least_far") - (1 - threshold) - 1e-9)
+    rows = (labelled.join(stars, "center").where(F.col("minor") | near)
+            .withColumn("block", F.pmod(F.xxhash64("doc"), F.when(F.col("minor"), F.col("minor_blocks"))
+                                        .otherwise(F.col("core_blocks"))).cast("int")))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.col("block")
+    tile = lambda outside, i, j: F.struct(F.lit(outside).alias("outside"), i.alias("i"), j.alias("j"))
+    meets = F.when(F.col("minor"), F.concat(
+        F.transform(count("core_blocks"), lambda j: tile(False, block, j)),
+        F.transform(count("minor_blocks"), lambda j: tile(True, F.least(block, j), F.greatest(block, j))))
+    ).otherwise(F.transform(count("minor_blocks"), lambda i: tile(False, i, block)))
+    return (rows.withColumn("tile", F.explode(meets))
+            .select("center", "tile.*", "minor", "block", "doc", "component", "far"))
+
+
+def other_links(tiles: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: confirmed links between components, of each tile as many as join its components.
+
+    Every pair of a tile that distances, sizes and registers do not rule out is decided on its full sets, in
+    the task; no pairs are written.
+    """
 
     def compare(tile: pa.Table) -> pa.Table:
-        low, high = tile.column("low")[0].as_py(), tile.column("high")[0].as_py()
-        block, doc = tile.column("block").to_numpy(), tile.column("doc").to_numpy()
-        component, n = tile.column("component").to_numpy(), tile.column("n").to_numpy()
-        own = tile.column("own").to_numpy()
+        outside, i, j = (tile.column(c)[0].as_py() for c in ("outside", "i", "j"))
+        minor, block, doc, component, n, own = (
+            tile.column(c).to_numpy() for c in ("minor", "block", "doc", "component", "n", "own"))
         far = tile.column("far").to_numpy().astype(float)  # null: NaN, which rules nothing out
         regs = np.frombuffer(b"".join(tile.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found_a, found_b = [], []
-        for i in left:
-            ok = (component[right] != component[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))
-            ok &= ~(np.abs(far[right] - far[i]) > 1 - threshold + 1e-9)
-            if low == high:
-                ok &= doc[right] > doc[i]
-            there = right[ok]
-            if len(there):
-                good = estimate(regs[there], regs[i], n[there], n[i]) >= lowest_estimate(
-                    threshold, np.minimum(own[there], own[i]))
-                found_a.extend(np.minimum(doc[there[good]], doc[i]))
-                found_b.extend(np.maximum(doc[there[good]], doc[i]))
-        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
-
-    return (tiles.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
-            .join(measured.select("a", "b"), ["a", "b"], "left_anti"))
+        sets = [np.frombuffer(s, np.uint64) for s in tile.column("shingles").to_pylist()]
+        left = np.flatnonzero(minor & (block == i))
+        right = np.flatnonzero(minor & (block == j)) if outside else np.flatnonzero(~minor)
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        if len(left) and len(right):
+            # All shingles of the right side in order, each with its member.
+            flat = np.concatenate([sets[r] for r in right])
+            owner = np.repeat(np.arange(len(right)), [len(sets[r]) for r in right])
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for a in left:
+                ok = component[right] != component[a]
+                ok &= np.minimum(n[right], n[a]) >= threshold * np.maximum(n[right], n[a])
+                ok &= ~(np.abs(far[right] - far[a]) > 1 - threshold + 1e-9)
+                ok[ok] = estimate(regs[right[ok]], regs[a], n[right[ok]], n[a]) >= lowest_estimate(
+                    threshold, np.minimum(own[right[ok]], own[a]))
+                if not ok.any():
+                    continue
+                first, stop = np.searchsorted(flat, sets[a], "left"), np.searchsorted(flat, sets[a], "right")
+                hits = stop - first
+                at = np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits - first, hits)
+                common = np.bincount(owner[at], minlength=len(right))
+                for b in right[ok & (common >= threshold * (n[right] + n[a] - common) - 1e-9)]:
+                    one, other = find(int(component[a])), find(int(component[b]))
+                    if one != other:
+                        root[one] = other
+                        found.append((min(doc[a], doc[b]), max(doc[a], doc[b])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()),
+                         "b": pa.array([b for _, b in found], pa.int64())})
+
+    return (tiles.join(sets, "doc").groupBy("center", "outside", "i", "j")
+            .applyInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id",
@@ -279,10 +352,9 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
                      "near-classes")
     keys = band_keys(classes)
     stars = keys.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where("center < last")
-    buckets = stored(keys.join(stars.select("key", "center"), "key").where("doc != center")
-                     .select("key", "center", "doc"), "near-buckets")
-    pairs = buckets.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = stored(likely(pairs, classes, threshold), "near-pairs")
+    spokes = stored(keys.join(stars.select("key", "center"), "key").where("doc != center")
+                    .select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), "near-spokes")
+    pairs = stored(likely(spokes, classes, threshold), "near-pairs")
     measured = stored(similarities(pairs, documents, size, id_col, text_col), "near-measured")
     member = rows.select("doc", *named).join(
         classes.select(*named, F.col("doc").alias("class_doc")), named, "left")
@@ -293,10 +365,11 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     linked = f"common >= {threshold} * either - 1e-9"
     links = measured.where(linked).select("a", "b").unionByName(one_id)
     labels = connected_components(links)
-    more = stored(other_pairs(buckets, classes, labels, measured, threshold), "near-more")
-    if not more.isEmpty():
-        again = similarities(more, documents, size, id_col, text_col)
-        labels = connected_components(links.unionByName(again.where(linked).select("a", "b")))
+    tiles = stored(tiles_of(spokes, classes, labels, measured, threshold), "near-tiles")
+    if not tiles.isEmpty():
+        sets = stored(member_sets(tiles.select("doc").distinct(), documents, size, id_col, text_col), "near-sets")
+        more = stored(other_links(tiles, sets, threshold), "near-more")
+        labels = connected_components(links.unionByName(more))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "class_doc", "doc"))
     return (member.join(labels, F.col("class_doc") == F.col("id"), "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -325,10 +325,11 @@ def edited_rows(seed: int = 6) -> list[tuple]:
     return rows
 
 
-def test_near_duplicates(spark, empty):
+def test_near_duplicates(spark, empty, monkeypatch):
     rows = edited_rows()
     table = spark.createDataFrame(rows, SCHEMA)
-    for size in (4, 5):
+    for size, block in ((4, near_dedup.CHUNK_ROWS), (5, 3)):
+        monkeypatch.setattr(near_dedup, "CHUNK_ROWS", block)
         want = brute_components(rows, size, 80)
         got = near_dedup.near_duplicates(table, 0.8, size).collect()
         assert len(got) == len(rows)
