@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duoglot.llm import byte_bpe, chat_format, language_id, multi_index, near_dedup, packing, page_text, quality, substring_dedup, token_counts
+from duoglot.llm import (byte_bpe, chat_format, importance, language_id, multi_index, near_dedup, packing, page_text,
+                         personal_data, quality, substring_dedup, token_counts, whitening)
 from duoglot.llm.common import table
 
 
@@ -71,5 +72,23 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), threshold=0.8, size=4)
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=10, least_words=20,
+        longest=1, buckets=10_000, seed=2024).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.personal_data(table(spark, folder, "documents"))
+    counts = [personal_data.spans_of("seeds", kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """A deviation beyond 64 bits is null here; the operator has it as a decimal."""
+    return whitening.whiten(table(spark, folder, "embeddings"), count=8).withColumn(
+        "deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
 ORACLES: dict[str, str] = {}
