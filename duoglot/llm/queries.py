@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duoglot.llm import (byte_bpe, chat_format, importance, language_id, multi_index, near_dedup, packing, page_text,
                          personal_data, quality, substring_dedup, token_counts, whitening)
 from duoglot.llm.common import table
+from duoglot.llm.oracles import ORACLES
 
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,4 +92,3 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {name: run for name, run in list(globals().items()) if name.startswith("op")}
-ORACLES: dict[str, str] = {}
