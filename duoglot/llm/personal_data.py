@@ -42,15 +42,16 @@ PATTERNS = {
 }
 # Texts without this have no match.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-_CONNECTORS = "A-Za-z@._/:#+-"
-CANDIDATE = (rf"(?<![\p{{L}}\p{{N}}@._/:#+-])[A-Za-z._/:#+-]*+[0-9@][{_CONNECTORS}0-9]*+"
-             rf"(?:\x20[0-9][{_CONNECTORS}0-9]*+)*+")
+CANDIDATE = (r"(?<![\p{L}\p{N}@._/:#+-])[A-Za-z._/:#+-]*+[0-9@][A-Za-z0-9@._/:#+-]*+"
+             r"(?:\x20[0-9][A-Za-z0-9@._/:#+-]*+)*+")
 WORD = r"\p{L}+"
 CONTEXT = r"[^\p{L}](\p{L}+)[^\p{L}]{1,3}(\p{L}+)[^\p{L}\p{N}]{1,4}$"
 CONTEXT_CHARS = 64
 BLOCK = 256
 BROADCAST_CONTEXTS = 1_000_000
 HOT_ROWS = 100_000
+# Contexts are counted in the first 1, 16 and 256 of 256 parts of the corpus in turn.
+PARTS = (1, 16, 256)
 
 
 def _running(values: Column) -> Column:
@@ -178,15 +179,30 @@ def _small(df: DataFrame, bound: int = BROADCAST_CONTEXTS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``(context, occurrences)`` of the given contexts: pairs of neighbouring words anywhere in the
-    corpus. Pairs are cut down to the given ones before they are counted."""
-    lower = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
-    pairs = lower.where(F.size("w") > 1).select(F.explode(F.zip_with(
-        F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1),
-        lambda a, b: F.xxhash64(a, b))).alias("context"))
-    return pairs.join(contexts, "context", "left_semi").groupBy("context").agg(
-        F.count(F.lit(1)).alias("occurrences"))
+def context_counts(docs: DataFrame, contexts: DataFrame, confident: float) -> DataFrame:
+    """``(context, occurrences)``: how often the pairs of words of ``(context, mentions)`` occur, one next to
+    the other, in the whole corpus; only for those that can still be confident.
+
+    The corpus is counted in disjoint parts that grow. A context that has occurred more than ``mentions /
+    confident`` times cannot become confident whatever the rest of the corpus holds, and is not
+    counted any further: very common pairs are given up after a small part, and what the
+    later joins find is in proportion to the mentions."""
+    part = F.pmod(text_key(), F.lit(PARTS[-1]))
+    counted = contexts.select("context", "mentions", F.lit(0).cast("bigint").alias("occurrences"))
+    low = 0
+    for high in PARTS:
+        open_ = stored(counted.where(F.col("occurrences") * confident <= F.col("mentions")), "personal-open")
+        lower = docs.where((part >= low) & (part < high)).select(
+            F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+        pairs = lower.where(F.size("w") > 1).select(F.explode(F.zip_with(
+            F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1),
+            lambda a, b: F.xxhash64(a, b))).alias("context"))
+        more = pairs.join(_small(open_.select("context")), "context", "left_semi").groupBy("context").agg(
+            F.count(F.lit(1)).alias("n"))
+        counted = open_.join(more, "context", "left").select(
+            "context", "mentions", (F.col("occurrences") + F.coalesce("n", F.lit(0))).alias("occurrences"))
+        low = high
+    return counted.select("context", "occurrences")
 
 
 def score_graph(edges: DataFrame, occurrences: DataFrame, least_support: int, confident: float,
@@ -246,9 +262,9 @@ def personal_data(docs: DataFrame, least_support: int = 3, confident: float = 0.
         "context IS NOT NULL").groupBy("context", "value", "kind").agg(F.count(F.lit(1)).alias("n"))
     edges = stored(edges, "personal-graph")
     # Only contexts of enough instances can ever count.
-    supported = stored(edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-                       .where(F.col("n") >= least_support).select("context"), "personal-supported")
-    occurrences = stored(context_counts(docs, _small(supported)), "personal-occurrences")
+    supported = edges.groupBy("context").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("mentions"))
+    occurrences = stored(context_counts(docs, supported.where(F.col("support") >= least_support), confident),
+                         "personal-occurrences")
     found = score_graph(edges, occurrences, least_support, confident, rounds)
 
     sizes = unseen.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
