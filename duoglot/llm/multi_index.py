@@ -20,6 +20,9 @@ from duoglot.llm.common import stored
 
 SAMPLE_NUMBERS = 2_000_000  # in the vectors that centroids are fitted on
 CELL_ROWS = 2_000           # entries of a first centroid in one task
+BLOCK_SCORES = 4_000_000    # scores held at once in a task
+ROUGH_MARGIN = 1e-9         # rough scores, as cosines, differ from exact ones by far less
+TRAVERSED_QUERIES = 64      # in one task
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -169,7 +172,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int =
                     names=["first", "seconds", "q", "v"])
 
     # A query goes once to each first centroid on its way, with the second ones it visits there.
-    visits = (asked.groupBy("q").agg(F.first("v").alias("v")).mapInArrow(
+    tasks = max(1, asked.count() // TRAVERSED_QUERIES)
+    visits = (asked.groupBy("q").agg(F.first("v").alias("v")).repartition(tasks, "q").mapInArrow(
         traverse, "first int, seconds array<int>, q bigint, v array<double>"))
     by_first = sizes.reshape(len(centroids[0]), -1).sum(axis=1)
     split = F.element_at(F.array(*[F.lit(max(1, int(-(-n // CELL_ROWS)))) for n in by_first]), F.col("first") + 1)
@@ -188,16 +192,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int =
             wants = np.zeros((len(y), len(centroids[1])), bool)
             for row, cells in enumerate(asked_.column("seconds").to_pylist()):
                 wants[row, cells] = True
-            rough = np.full((len(y), len(x)), -np.inf)
-            for cell in np.unique(second):
-                entries_, rows = np.flatnonzero(second == cell), np.flatnonzero(wants[:, cell])
-                rough[np.ix_(rows, entries_)] = (y[rows] @ x[entries_].T) / x_size[entries_]
-            size = min(2 * k + 2, len(x))
-            top = np.argpartition(-rough, size - 1, axis=1)[:, :size]
-            for row, (q, places) in enumerate(zip(asked_.column("q").to_pylist(), top)):
-                places = places[rough[row, places] > -np.inf]
-                score = (x[places] * y[row]).sum(axis=1) / (x_size[places] * y_size[row])
-                best[q] = sorted((-s, i) for s, p in zip(score, places) for i in ids[p])[:k + 1]
+            cells = [(cell, np.flatnonzero(second == cell)) for cell in np.unique(second)]
+            names = asked_.column("q").to_pylist()
+            size = min(k + 1, len(x))
+            step = max(1, BLOCK_SCORES // len(x))
+            for at in range(0, len(y), step):
+                some = y[at:at + step]
+                rough = np.full((len(some), len(x)), -np.inf)
+                for cell, entries_ in cells:
+                    rows = np.flatnonzero(wants[at:at + step, cell])
+                    rough[np.ix_(rows, entries_)] = (some[rows] @ x[entries_].T) / x_size[entries_]
+                # Every entry that may still tie with the last one of the list is scored exactly.
+                last = np.partition(rough, len(x) - size, axis=1)[:, len(x) - size]
+                for row, low in enumerate(last - ROUGH_MARGIN * y_size[at:at + step]):
+                    places = np.flatnonzero((rough[row] >= low) & (rough[row] > -np.inf))
+                    score = (x[places] * some[row]).sum(axis=1) / (x_size[places] * y_size[at + row])
+                    best[names[at + row]] = sorted((-s, i) for s, p in zip(score, places) for i in ids[p])[:k + 1]
         flat = [(q, i, -s) for q, found_ in best.items() for s, i in found_]
         return pa.table({name: pa.array([row[at] for row in flat], kind) for at, (name, kind) in enumerate(
             (("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())))})
