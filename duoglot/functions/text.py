@@ -1,15 +1,15 @@
 """Text columns: normalising, folding, keys, concatenation, tokens.
 
 Every function takes and returns a ``Column``. Unicode normalisation is the only step
-Spark has no expression for; it runs in Arrow batches, and only texts with other than ASCII
-characters are sent there.
+Spark has no expression for; it runs in Arrow batches, and only texts that it can change are
+sent there.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 import pandas as pd
@@ -49,6 +49,33 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
+# Runs of fewer characters than this are left to the Unicode library.
+QUICK_RUN = 64
+
+
+@cache
+def quick_check_class() -> str:
+    """Regular expression class of all characters but those that NFC never changes, whatever stands
+    next to them: own normal form, no combining class, never the second part of a composition. Only
+    long runs of such characters are listed, so that the class stays short."""
+    second = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}     # Hangul vowels and finals
+    blocks = [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x20000)]
+    for code in blocks:
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+    runs: list[list[int]] = []
+    for code in blocks:
+        c = chr(code)
+        if code in second or unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c:
+            continue
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs if b - a >= QUICK_RUN) + "]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -59,10 +86,9 @@ def _fold_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t.translate(_FOLDS), na_action="ignore")
 
 
-def _unless_ascii(c: Column, batch) -> Column:
-    """Apply ``batch`` to texts with other than ASCII characters; the rest pass as null."""
-    other = F.octet_length(c) > F.length(c)
-    return F.when(other, batch(F.when(other, c))).otherwise(c)
+def _where(needed: Column, c: Column, batch) -> Column:
+    """Apply ``batch`` to the texts that need it; the others go past it as nulls."""
+    return F.when(needed, batch(F.when(needed, c))).otherwise(c)
 
 
 def as_column(c: Column | str) -> Column:
@@ -75,13 +101,16 @@ def strip(c: Column | str) -> Column:
 
 
 def normalize_nfc(c: Column | str) -> Column:
-    """NFC form, trimmed; null stays null."""
-    return strip(_unless_ascii(as_column(c), _nfc_batch))
+    """NFC form, trimmed; null stays null. Texts whose characters NFC never changes, which is nearly all
+    text that is stored in NFC, stay in the JVM."""
+    c = as_column(c)
+    return strip(_where(c.rlike(quick_check_class()), c, _nfc_batch))
 
 
 def strip_diacritics(c: Column | str) -> Column:
     """Compatibility decomposition without its combining marks (``ā`` → ``a``)."""
-    return _unless_ascii(as_column(c), _fold_batch)
+    c = as_column(c)
+    return _where(F.octet_length(c) > F.length(c), c, _fold_batch)
 
 
 def contains_any(c: Column, letters: str) -> Column:

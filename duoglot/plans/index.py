@@ -14,9 +14,12 @@ from duoglot.operators import lexical
 from duoglot.operators.corpus import FOLDED_SUFFIX
 from duoglot.operators.encode import (Encoder, encode, hash_vectors, named_texts, term_counts)
 from duoglot.operators.topk import best_row_per_key
+from duoglot.session import work_folder
 from duoglot.sources.index_tables import (DOCS_SCHEMA, Index, IndexSettings, open_or_declare)
 
 FUSED = "multilingual"
+# A bucket of more text than this is split in two by compaction.
+BUCKET_BYTES = 256 << 20
 CONCAT = "multilingual_concat"
 # Text column of each language vector, when vectors per language are asked for.
 LANGUAGE_COLUMNS = {"pali": "pali_paragraph", "en": "translation_paragraph",
@@ -88,9 +91,10 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
                  encoder: Encoder | None = None, batch: str | None = None) -> Index:
     """Add the paragraphs of ``corpus``; one with a known ``doc_id`` replaces the old row.
 
-    Only the new rows are written; the rows they replace are noted in ``replaced``. The
-    cost follows the size of ``corpus``, apart from one look-up of its ids among those of
-    the index. A ``batch`` name that is already in the manifest is skipped.
+    Only the new rows are written; the rows they replace are noted in ``replaced``. The old
+    texts of those are fetched by id and split into words once, for both statistics; the
+    postings are not read. The cost follows the size of ``corpus``, apart from one look-up
+    of its ids among those of the index (the id column alone). A ``batch`` name that is already in the manifest is skipped.
     One writer at a time.
     """
     if batch is not None and any(g[2] == batch for g in index.generations):
@@ -121,7 +125,8 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
             "doc_id", F.col("dead_gen").alias("gen"))
         n_replaced = dead.count()
         if n_replaced:
-            gone = index.dead_postings(dead)
+            work_folder(index.spark)
+            gone = lexical.postings(index.replaced_docs(dead, n_replaced), index.settings.fields).checkpoint()
             term_stats = (term_stats.unionByName(
                 lexical.term_statistics(gone).withColumn("df", -F.col("df")))
                 .groupBy("field", "term").agg(F.sum("df").alias("df"))
@@ -145,21 +150,32 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
                 order: Sequence[Column] | None = None) -> Index:
     """Create the index at ``path`` if there is none and add ``corpus`` to it.
 
-    ``buckets`` should bring a bucket of the postings to a few hundred MB; it defaults to
-    the session's shuffle partitions (with which the docs are written without an extra
-    shuffle), but to no more than four per core. ``vector_columns`` (name → text column) adds a vector per language to the
-    fused one.
+    ``buckets`` should bring a bucket to a few hundred MB; it defaults to the session's
+    shuffle partitions (with which the docs are written without an extra shuffle), and
+    compaction adjusts it to the stored bytes. ``vector_columns`` (name → text column) adds
+    a vector per language to the fused one.
     """
-    buckets = buckets or min(_shuffle_partitions(spark),
-                             4 * spark.sparkContext.defaultParallelism)
+    buckets = buckets or _shuffle_partitions(spark)
     settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}))
     return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder)
 
 
-def compact_index(index: Index, path: str, encoder: Encoder | None = None) -> Index:
-    """A fresh index at ``path`` with the current rows in one generation."""
+def fitting_buckets(n_bytes: int, buckets: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """``buckets``, doubled until none holds more than ``bucket_bytes`` on average. Doubling splits
+    every bucket in two and moves no row between others."""
+    while n_bytes > buckets * bucket_bytes:
+        buckets *= 2
+    return buckets
+
+
+def compact_index(index: Index, path: str, encoder: Encoder | None = None,
+                  bucket_bytes: int = BUCKET_BYTES) -> Index:
+    """A fresh index at ``path`` with the current rows in one generation, and as many buckets
+    as the measured bytes of its texts ask for."""
+    n_bytes = index.docs().agg(F.sum(F.octet_length(CONCAT))).first()[0] or 0
     return build_index(index.spark, index.docs(), path, index.settings.fields,
-                       index.settings.vector_columns, encoder, index.settings.buckets)
+                       index.settings.vector_columns, encoder,
+                       fitting_buckets(n_bytes, index.settings.buckets, bucket_bytes))
 
 
 def index_summary(index: Index) -> DataFrame:

@@ -14,7 +14,7 @@ from duoglot.operators.encode import Encoder, encode, hash_encode
 from duoglot.operators.knn import knn_topk
 from duoglot.plans.index import FUSED
 from duoglot.session import work_folder
-from duoglot.sources.index_tables import Index
+from duoglot.sources.index_tables import FETCH_IDS, Index
 
 # Hits are broadcast to the docs scan up to this many rows (about 100 bytes each).
 BROADCAST_HITS = 500_000
@@ -98,7 +98,7 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
         keyword = keyword.checkpoint()
     vector = _vector_leg(index, q, keyword, allowed, options, limit, profile)
     ranked = hybrid.rank_candidates(hybrid.fuse(q, keyword, vector, options.fusion), limit)
-    per_query = q.select("query_id", "query", "query_lang", "alpha", "alpha_used", "top_k")
+    per_query = q.select("query_id", "query_lang", "alpha", "alpha_used", "top_k")
     ranked = ranked.join(per_query, "query_id").where(
         F.col("hybrid_rank") <= F.greatest(F.lit(hybrid.MIN_CANDIDATES), F.col("top_k")))
     if options.scorer is None:
@@ -107,12 +107,21 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
         kept = profile["k"] or 0
     else:
         kept = limit
+    columns = ("doc_id", "book_id", "para_id", "pali_paragraph", "translation_paragraph")
+    if profile["n"] * kept <= FETCH_IDS:
+        # The lists are complete and few: only the texts of their documents are read.
+        ranked = ranked.checkpoint()
+        wanted = [r["doc_id"] for r in ranked.select("doc_id").distinct().collect()]
+        payload = index.docs_of(wanted).select(*columns)
+    else:
+        payload = index.docs().select(*columns)
     if profile["n"] * kept <= BROADCAST_HITS:
         ranked = F.broadcast(ranked)
-    payload = index.docs().select("doc_id", "book_id", "para_id", "pali_paragraph",
-                                  "translation_paragraph")
     hits = payload.join(ranked, "doc_id").withColumn(
         "snippet", text.snippet("pali_paragraph", "translation_paragraph"))
+    if options.scorer is not None:
+        # Query texts, which may be long, meet the hits after the fetch and are never broadcast with them.
+        hits = hits.join(q.select("query_id", "query"), "query_id")
     hits = hybrid.rerank(hits, options.scorer)
     if options.explain:
         hits = hits.withColumn("explain", F.struct(

@@ -18,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 DOCS_SCHEMA = T.StructType([
     T.StructField(name, T.StringType()) for name in (
@@ -38,14 +39,19 @@ POSTINGS_SCHEMA = T.StructType([
     T.StructField("field", T.StringType())])
 MANIFEST_SCHEMA = "seq int, gen string, batch string, n_rows bigint, n_replaced bigint, settings string"
 
-BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"]),
-            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"]),
-            "postings": (POSTINGS_SCHEMA, ["gen", "field"])}
+# Schema, partition columns, columns that a bucket is sorted by.
+BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"], ["doc_id"]),
+            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"], []),
+            "postings": (POSTINGS_SCHEMA, ["gen", "field"], [])}
 SMALL = {"replaced": "doc_id string, dead_gen string",
          "term_stats": "field string, term string, df bigint",
          "field_stats": "field string, n_docs bigint, sum_dl bigint"}
 # Replaced rows are broadcast up to this many (about 60 bytes each).
 BROADCAST_REPLACED = 1_000_000
+# Up to this many documents are fetched by a list of ids (about 100 bytes each in the plan).
+FETCH_IDS = 5_000
+# Lists of up to ten values are pushed to Parquet as they are, longer ones as their range.
+IDS_PER_LIST = 10
 
 
 @dataclass(frozen=True)
@@ -57,6 +63,16 @@ class IndexSettings:
     vector_columns: dict[str, str] = field(default_factory=dict)
 
 
+def one_of(column: str, values: Sequence[str]) -> Column:
+    """``column IN values`` as a balanced disjunction of short lists: buckets, row groups and pages
+    without any of the values are skipped, however many values there are."""
+    lists = [F.col(column).isin(list(values[at:at + IDS_PER_LIST]))
+             for at in range(0, len(values), IDS_PER_LIST)]
+    while len(lists) > 1:
+        lists = [a | b for a, b in zip(lists[::2], lists[1::2])] + lists[len(lists) // 2 * 2:]
+    return lists[0] if lists else F.lit(False)
+
+
 @dataclass
 class Index:
     """A readable state of an index: its path, settings and finished generations."""
@@ -97,6 +113,21 @@ class Index:
     def docs(self) -> DataFrame:
         return self._live(self._table("docs")).drop("gen")
 
+    def docs_of(self, ids: Sequence[str]) -> DataFrame:
+        """The current rows of some documents, at most ``FETCH_IDS``."""
+        if len(ids) > FETCH_IDS:
+            raise ValueError(f"more than {FETCH_IDS} ids")
+        return self._live(self._table("docs").where(one_of("doc_id", sorted(ids)))).drop("gen")
+
+    def replaced_docs(self, dead: DataFrame, n_dead: int) -> DataFrame:
+        """The old rows of ``(doc_id, gen)``: fetched by id if they are few, otherwise bucket by bucket."""
+        rows = self._table("docs")
+        if n_dead <= FETCH_IDS:
+            rows = rows.where(one_of("doc_id", sorted(r["doc_id"] for r in dead.select("doc_id").collect())))
+        if n_dead <= BROADCAST_REPLACED:
+            dead = F.broadcast(dead)
+        return rows.join(dead, ["doc_id", "gen"], "left_semi").drop("gen")
+
     def doc_generations(self) -> DataFrame:
         """``(doc_id, gen)`` of the current rows."""
         return self._live(self._table("docs").select("doc_id", "gen"))
@@ -108,9 +139,6 @@ class Index:
     def postings(self) -> DataFrame:
         return self._live(self._table("postings")).drop("gen")
 
-    def dead_postings(self, dead: DataFrame) -> DataFrame:
-        return self._table("postings").join(dead, ["doc_id", "gen"], "left_semi").drop("gen")
-
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """``(field, term, df)``, for ``terms`` only if given."""
         stats = self._small("term_stats")
@@ -139,13 +167,15 @@ class Index:
                 .parquet(f"{self.path}/{kind}").where(F.col("gen") == gen))
 
     def write_bucketed(self, kind: str, rows: DataFrame, gen: str) -> None:
-        schema, partitions = BUCKETED[kind]
+        schema, partitions, order = BUCKETED[kind]
         name = table_name(self.path, kind)
         columns = [f.name for f in schema if f.name not in partitions]
-        (rows.withColumn("gen", F.lit(gen)).select(*columns, *partitions)
-         .write.format("parquet").mode("append").partitionBy(*partitions)
-         .bucketBy(self.settings.buckets, "doc_id")
-         .option("path", f"{self.path}/{kind}").saveAsTable(name))
+        writer = (rows.withColumn("gen", F.lit(gen)).select(*columns, *partitions)
+                  .write.format("parquet").mode("append").partitionBy(*partitions)
+                  .bucketBy(self.settings.buckets, "doc_id"))
+        if order:
+            writer = writer.sortBy(*order).option("parquet.bloom.filter.enabled#doc_id", "true")
+        writer.option("path", f"{self.path}/{kind}").saveAsTable(name)
 
     def write_small(self, kind: str, rows: DataFrame, gen: str) -> None:
         (rows.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen")
@@ -166,9 +196,14 @@ def table_name(path: str, kind: str) -> str:
     return f"duoglot_{kind}_{digest}"
 
 
+def _quoted(path: str) -> str:
+    """A path inside a SQL string."""
+    return path.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _declare_tables(spark: SparkSession, path: str, settings: IndexSettings) -> None:
     """Make the bucketed tables at ``path`` known to this session's catalog."""
-    for kind, (schema, partitions) in BUCKETED.items():
+    for kind, (schema, partitions, order) in BUCKETED.items():
         name = table_name(path, kind)
         if not spark.catalog.tableExists(name):
             columns = [f"`{f.name}` {f.dataType.simpleString()}"
@@ -176,8 +211,8 @@ def _declare_tables(spark: SparkSession, path: str, settings: IndexSettings) ->
             columns += [f"`{p}` string" for p in partitions]
             spark.sql(f"CREATE TABLE {name} ({', '.join(columns)}) USING parquet "
                       f"PARTITIONED BY ({', '.join(partitions)}) "
-                      f"CLUSTERED BY (doc_id) INTO {settings.buckets} BUCKETS "
-                      f"LOCATION '{path}/{kind}'")
+                      f"CLUSTERED BY (doc_id) {f'SORTED BY ({order[0]}) ' if order else ''}"
+                      f"INTO {settings.buckets} BUCKETS LOCATION '{_quoted(path)}/{kind}'")
 
 
 def _find_partitions(spark: SparkSession, path: str) -> None:
@@ -220,7 +255,7 @@ def ensure_index(spark: SparkSession, path: str, settings: IndexSettings | None
     if index.generations:
         return index
     seq, gen = index.next_generation()
-    for kind, (schema, _) in BUCKETED.items():
+    for kind, (schema, *_) in BUCKETED.items():
         index.write_bucketed(kind, spark.createDataFrame([], schema), gen)
     for kind, ddl in SMALL.items():
         index.write_small(kind, spark.createDataFrame([], ddl), gen)

@@ -85,3 +85,20 @@ def test_tokens(spark):
                text.has_token("s").alias("h"))
     assert [r["t"] for r in rows] == [["the", "cat", "s", "ñandú", "3x"], [], [], ["āb"]]
     assert [r["h"] for r in rows] == [True, False, False, True]
+
+
+def test_quick_check_lets_only_stable_texts_pass(spark):
+    import random
+    import re
+    import unicodedata
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", text.quick_check_class()))
+    assert not pattern.search("plain, déjà vu, Straße, ñandú, āīūḍḷṇṭ, Привет, 中文, 😀")
+    assert pattern.search("e\u0301") and pattern.search("\u1100\u1161") and pattern.search("\u212b")
+    draw = random.Random(1)
+    letters = [*"ae \n", "\u0301", "\u0323", "é", "\u1e69", "\u1100", "\u1161", "\u11a8", "가", "\u212b", "\u0958", "\u2adc", "中", "😀", "\U0001d15e"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 12))) for _ in range(400)]
+    for t in texts:
+        assert pattern.search(t) or unicodedata.normalize("NFC", t) == t
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    got = dict(map(tuple, df.select("i", text.normalize_nfc("t")).collect()))
+    assert got == {i: unicodedata.normalize("NFC", t).strip() for i, t in enumerate(texts)}

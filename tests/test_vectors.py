@@ -90,8 +90,10 @@ def test_nothing_in_nothing_out(spark):
 
 def test_named_texts(spark):
     df = spark.createDataFrame([("d", "p", None)], "doc_id string, pali_paragraph string, translation_paragraph string")
-    rows = encode.named_texts(df, {"pali": "pali_paragraph", "en": "translation_paragraph", "zh": "absent"})
+    rows = encode.named_texts(df, {"pali": "pali_paragraph", "en": "translation_paragraph"})
     assert {r["vector_name"]: r["text"] for r in rows.collect()} == {"pali": "p", "en": "", "multilingual": "p"}
+    with pytest.raises(ValueError):
+        encode.named_texts(df, {"pali": "pali_paragraph", "zh": "absent"})
 
 
 def unit_rows(n, width, seed, copies=0):
