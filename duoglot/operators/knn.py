@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from duoglot.functions.vectors import SCORE_DIGITS
-from duoglot.operators.topk import top_per_group
+from duoglot.operators.topk import top_by_own_limit, top_per_group
 
 BROADCAST_QUERIES = 4_096      # × 768 floats = 12 MB
 TILE_QUERIES = 16_384
@@ -57,10 +57,12 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 class _TopLists:
-    """Running best ``limit`` (id, score) per query: highest score, then lowest id."""
+    """Running best (id, score) of each query, as many as its limit: highest score, then lowest id."""
 
-    def __init__(self, n_queries: int, limit: int):
-        self.limit = limit
+    def __init__(self, limits: np.ndarray):
+        n_queries = len(limits)
+        self.limits = limits
+        self.limit = int(limits.max(initial=1))
         self.floor = np.full(n_queries, -np.inf)
         self.query = np.zeros(0, dtype=np.int64)
         self.ids: np.ndarray | None = None
@@ -83,9 +85,9 @@ class _TopLists:
         query, all_ids, values = query[order], all_ids[order], values[order]
         starts = np.searchsorted(query, np.arange(len(self.floor)))
         position = np.arange(len(query)) - starts[query]
-        keep = position < self.limit
+        keep = position < self.limits[query]
         self.query, self.ids, self.scores = query[keep], all_ids[keep], values[keep]
-        full = position[keep] == self.limit - 1
+        full = position[keep] == self.limits[self.query] - 1
         self.floor[self.query[full]] = self.scores[full]
 
 
@@ -124,16 +126,19 @@ def _columns(lists: _TopLists, query_ids: np.ndarray, schema: pa.Schema) -> list
             pa.array(lists.scores, pa.float64())]
 
 
-def _broadcast_scan(queries: DataFrame, docs: DataFrame, limit: int,
-                    skip_same: bool) -> DataFrame:
+def _limits(rows: pa.Table) -> np.ndarray:
+    return rows["_limit"].to_numpy().astype(np.int64)
+
+
+def _broadcast_scan(queries: DataFrame, docs: DataFrame, skip_same: bool) -> DataFrame:
     rows = queries.toArrow()
     query_ids, matrix = _ids(rows["query_id"]), _matrix(rows["embedding"])
-    shared = docs.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    shared = docs.sparkSession.sparkContext.broadcast((query_ids, matrix, _limits(rows)))
     schema = _output(queries, docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shared.value
-        lists = _TopLists(len(query_ids), limit)
+        query_ids, matrix, limits = shared.value
+        lists = _TopLists(limits)
         for batch in batches:
             if batch.num_rows and len(query_ids):
                 _scan(lists, query_ids, matrix, _ids(batch.column("doc_id")),
@@ -143,7 +148,7 @@ def _broadcast_scan(queries: DataFrame, docs: DataFrame, limit: int,
     return docs.mapInArrow(scan, _schema(queries, docs))
 
 
-def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str], limit: int,
+def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str],
            skip_same: bool, tile_queries: int, tile_docs: int) -> DataFrame:
     """Best rows per tile for queries and documents that share ``keys``.
 
@@ -167,7 +172,7 @@ def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str], limit: int,
     q = (queries.join(sizes, keys)
          .withColumn("_q", part("query_id", "_query_parts"))
          .withColumn("_d", every("_doc_parts"))
-         .select(*[F.col(c).alias(c) for c in (*keys, "_q", "_d", "query_id", "embedding")]))
+         .select(*[F.col(c).alias(c) for c in (*keys, "_q", "_d", "query_id", "embedding", "_limit")]))
     d = (docs.join(sizes, keys)
          .withColumn("_d", part("doc_id", "_doc_parts"))
          .withColumn("_q", every("_query_parts"))
@@ -178,7 +183,7 @@ def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str], limit: int,
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         query_ids, matrix = _ids(left["query_id"]), _matrix(left["embedding"])
-        lists = _TopLists(len(query_ids), limit)
+        lists = _TopLists(_limits(left))
         _scan(lists, query_ids, matrix, _ids(right["doc_id"]),
               _matrix(right["embedding"], matrix.shape[1]), skip_same)
         return pa.Table.from_arrays(_columns(lists, query_ids, schema), schema=schema)
@@ -217,16 +222,22 @@ def hyperplane_codes(vector: Column | str, tables: int, bits: int) -> Column:
 
 def knn_topk(queries: DataFrame, docs: DataFrame, limit: int, skip_same: bool = False,
              broadcast_queries: int = BROADCAST_QUERIES, tile_queries: int = TILE_QUERIES,
-             tile_docs: int = TILE_DOCS, lsh: tuple[int, int] | None = None) -> DataFrame:
+             tile_docs: int = TILE_DOCS, lsh: tuple[int, int] | None = None,
+             limits: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, vector_score, vector_rank)``: the nearest ``limit`` documents
     of each query by cosine of unit vectors, ties by ``doc_id``.
 
     ``queries`` has ``(query_id, embedding)`` and ``docs`` ``(doc_id, embedding)``, with
     unique ids; rows without a vector are left out. ``skip_same`` leaves out a document
-    whose id equals the query's. ``lsh=(tables, bits)`` compares only vectors that share a
+    whose id equals the query's. ``limits`` (``(query_id, limit)``, none above ``limit``) gives every
+    query a limit of its own; queries without one are left out. ``lsh=(tables, bits)`` compares only vectors that share a
     code; ``tables * 2**bits`` bounds the number of buckets.
     """
     queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    if limits is None:
+        queries = queries.withColumn("_limit", F.lit(limit).cast("long"))
+    else:
+        queries = queries.join(limits.select("query_id", F.col("limit").cast("long").alias("_limit")), "query_id")
     docs = docs.select("doc_id", "embedding").where(F.col("embedding").isNotNull())
     if lsh:
         tables, bits = lsh
@@ -237,13 +248,15 @@ def knn_topk(queries: DataFrame, docs: DataFrame, limit: int, skip_same: bool =
             codes = df.withColumn("_codes", hyperplane_codes("embedding", tables, bits))
             return codes.select(*df.columns, F.posexplode("_codes").alias("table", "code"))
 
-        found = _tiled(coded(queries), coded(docs), ["table", "code"], limit, skip_same,
+        found = _tiled(coded(queries), coded(docs), ["table", "code"], skip_same,
                        tile_queries, tile_docs).distinct()
     elif queries.limit(broadcast_queries + 1).count() <= broadcast_queries:
-        found = _broadcast_scan(queries, docs, limit, skip_same)
+        found = _broadcast_scan(queries, docs, skip_same)
     else:
         one = F.lit(0).alias("_all")
-        found = _tiled(queries.select("*", one), docs.select("*", one), ["_all"], limit,
+        found = _tiled(queries.select("*", one), docs.select("*", one), ["_all"],
                        skip_same, tile_queries, tile_docs)
+    if limits is not None:
+        return top_by_own_limit(found, limits, "vector_score", "vector_rank")
     return top_per_group(found, ["query_id"], [F.desc("vector_score"), F.col("doc_id")],
                          limit, "vector_rank")

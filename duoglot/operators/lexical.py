@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from duoglot.functions.text import tokens
 from duoglot.functions.vectors import round_score
 from duoglot.operators.skew import ROWS_PER_SPLIT, hot_keys, salted_join
-from duoglot.operators.topk import top_per_group
+from duoglot.operators.topk import top_by_own_limit, top_per_group
 
 K1 = 1.2
 B = 0.75
@@ -92,10 +92,17 @@ def _impact():
             / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
 
 
+def _best(scores: DataFrame, limit: int, limits: DataFrame | None) -> DataFrame:
+    if limits is not None:
+        return top_by_own_limit(scores, limits, "bm25_score", "bm25_rank")
+    return top_per_group(scores, ["query_id"], [F.desc("bm25_score"), F.col("doc_id")], limit, "bm25_rank")
+
+
 def bm25_topk(posted: DataFrame, weighted: DataFrame, limit: int, n_term_rows: int,
               broadcast_rows: int = BROADCAST_TERM_ROWS,
-              rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """``(query_id, doc_id, bm25_score, bm25_rank)``: the best ``limit`` documents per query.
+              rows_per_split: int = ROWS_PER_SPLIT, limits: DataFrame | None = None) -> DataFrame:
+    """``(query_id, doc_id, bm25_score, bm25_rank)``: the best ``limit`` documents per query, or
+    as many as the query's row in ``limits`` says (``(query_id, limit)``, none above ``limit``).
 
     Query terms within the row bound are broadcast. The postings then keep their
     bucketing by ``doc_id``, the sums need no shuffle, and each task hands on at most
@@ -111,8 +118,7 @@ def bm25_topk(posted: DataFrame, weighted: DataFrame, limit: int, n_term_rows: i
         matched = salted_join(posted, weighted, ["field", "term"], "doc_id", hot)
     scores = matched.groupBy("query_id", "doc_id").agg(
         round_score(F.sum(_impact())).alias("bm25_score"))
-    return top_per_group(scores, ["query_id"], [F.desc("bm25_score"), F.col("doc_id")],
-                         limit, "bm25_rank")
+    return _best(scores, limit, limits)
 
 
 def split_terms(posted: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
@@ -144,15 +150,16 @@ def split_terms(posted: DataFrame, weighted: DataFrame, limit: int) -> DataFrame
         F.col("bound"))).over(Window.partitionBy("query_id"))).drop("bound", "df_before")
 
 
-def bm25_topk_pruned(posted: DataFrame, weighted: DataFrame, limit: int) -> DataFrame:
+def bm25_topk_pruned(posted: DataFrame, weighted: DataFrame, limit: int,
+                     limits: DataFrame | None = None) -> DataFrame:
     """The result of :func:`bm25_topk` without scoring every document that has any term.
 
     Documents are found by their essential terms; those that stay below the threshold even
     with the bounds of the other terms are dropped, and the other terms are added up for
     the remaining ones only. Exact: what is left out cannot be among the best.
 
-    Sums and join follow the bucketing of the postings by ``doc_id``; the hash table of
-    the join holds the remaining documents of one bucket.
+    Sums and join follow the bucketing of the postings by ``doc_id``. With ``limits`` the
+    threshold is that of the largest one, which is low enough for all.
     """
     marked = split_terms(posted, weighted, limit).checkpoint()
     found = (posted.join(F.broadcast(marked.where("essential")), ["field", "term"])
@@ -163,9 +170,8 @@ def bm25_topk_pruned(posted: DataFrame, weighted: DataFrame, limit: int) -> Data
              .select("query_id", "doc_id", "part"))
     others = posted.join(F.broadcast(marked.where(~F.col("essential"))), ["field", "term"]).select(
         "query_id", "doc_id", _impact().alias("impact"))
-    scores = (others.join(found.hint("shuffle_hash"), ["query_id", "doc_id"], "right")
+    scores = (others.join(found, ["query_id", "doc_id"], "right")
               .groupBy("query_id", "doc_id")
               .agg(round_score(F.max("part") + F.coalesce(F.sum("impact"), F.lit(0.0)))
                    .alias("bm25_score")))
-    return top_per_group(scores, ["query_id"], [F.desc("bm25_score"), F.col("doc_id")],
-                         limit, "bm25_rank")
+    return _best(scores, limit, limits)

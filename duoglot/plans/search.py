@@ -73,30 +73,35 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
 
     The analysed query table is checkpointed, as both legs read it, and profiled (number of
     queries and query terms, largest ``top_k``): those numbers decide between broadcast and
-    shuffle joins and give the ranking windows their literal limit.
+    shuffle joins and give the ranking windows their literal limit. Where some query asks for more
+    than the usual candidates, every query has a limit of its own instead.
     """
     options = options or SearchOptions()
     work_folder(index.spark)
     q = with_vectors(analyse_queries(queries, options), options).withColumn(
         "alpha_used", F.when(F.col("embedding").isNull(), 0.0).otherwise(F.col("alpha"))
     ).checkpoint()
-    profile = q.agg(F.count(F.lit(1)).alias("n"), F.max("top_k").alias("k"),
+    profile = q.agg(F.count(F.lit(1)).alias("n"), F.max("top_k").alias("k"), F.sum("top_k").alias("all_k"),
+                    F.sum(F.greatest(F.lit(hybrid.MIN_CANDIDATES), F.col("top_k"))).alias("all_candidates"),
                     F.sum(F.size(F.array_distinct(text.tokens("keyword_query")))).alias("terms"),
                     F.count_if(F.col("embedding").isNotNull() & (F.col("alpha_used") > 0))
                     .alias("vector"),
                     F.count_if(F.col("embedding").isNotNull() & (F.col("alpha_used") == 0))
                     .alias("fallback")).first()
     limit = max(hybrid.MIN_CANDIDATES, profile["k"] or 0)
+    limits = None
+    if limit > hybrid.MIN_CANDIDATES and profile["n"] <= BROADCAST_HITS:
+        limits = q.select("query_id", F.greatest(F.lit(hybrid.MIN_CANDIDATES), F.col("top_k")).alias("limit"))
     allowed = None
     if options.where is not None:
         # Bucketed like postings and vectors: joined bucket by bucket, and able to spill.
         allowed = index.docs().where(options.where).select("doc_id")
 
     keyword = _keyword_leg(index, q.where(F.col("alpha_used") < 1), allowed, options, limit,
-                           profile["terms"] or 0)
+                           profile["terms"] or 0, limits)
     if profile["fallback"]:
         keyword = keyword.checkpoint()
-    vector = _vector_leg(index, q, keyword, allowed, options, limit, profile)
+    vector = _vector_leg(index, q, keyword, allowed, options, limit, profile, limits)
     ranked = hybrid.rank_candidates(hybrid.fuse(q, keyword, vector, options.fusion), limit)
     per_query = q.select("query_id", "query_lang", "alpha", "alpha_used", "top_k")
     ranked = ranked.join(per_query, "query_id").where(
@@ -104,18 +109,18 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
     if options.scorer is None:
         # Fetch texts only for the rows that will be returned.
         ranked = ranked.where(F.col("hybrid_rank") <= F.col("top_k"))
-        kept = profile["k"] or 0
+        kept = profile["all_k"] or 0
     else:
-        kept = limit
+        kept = profile["all_candidates"] or 0
     columns = ("doc_id", "book_id", "para_id", "pali_paragraph", "translation_paragraph")
-    if profile["n"] * kept <= FETCH_IDS:
+    if kept <= FETCH_IDS:
         # The lists are complete and few: only the texts of their documents are read.
         ranked = ranked.checkpoint()
         wanted = [r["doc_id"] for r in ranked.select("doc_id").distinct().collect()]
         payload = index.docs_of(wanted).select(*columns)
     else:
         payload = index.docs().select(*columns)
-    if profile["n"] * kept <= BROADCAST_HITS:
+    if kept <= BROADCAST_HITS:
         ranked = F.broadcast(ranked)
     hits = payload.join(ranked, "doc_id").withColumn(
         "snippet", text.snippet("pali_paragraph", "translation_paragraph"))
@@ -130,7 +135,8 @@ def search(index: Index, queries: DataFrame, options: SearchOptions | None = Non
 
 
 def _keyword_leg(index: Index, q: DataFrame, allowed: DataFrame | None,
-                 options: SearchOptions, limit: int, n_terms: int) -> DataFrame:
+                 options: SearchOptions, limit: int, n_terms: int,
+                 limits: DataFrame | None = None) -> DataFrame:
     terms = lexical.query_terms(q)
     distinct = terms.select("term").distinct()
     n_rows = n_terms * len(options.fields)
@@ -147,12 +153,13 @@ def _keyword_leg(index: Index, q: DataFrame, allowed: DataFrame | None,
         posted = posted.where(F.col("term").isin(wanted))
     n_postings = weighted.agg(F.sum("df")).first()[0] or 0
     if n_postings >= options.prune_from and n_rows <= lexical.BROADCAST_TERM_ROWS:
-        return lexical.bm25_topk_pruned(posted, weighted, limit)
-    return lexical.bm25_topk(posted, weighted, limit, n_rows)
+        return lexical.bm25_topk_pruned(posted, weighted, limit, limits)
+    return lexical.bm25_topk(posted, weighted, limit, n_rows, limits=limits)
 
 
 def _vector_leg(index: Index, q: DataFrame, keyword: DataFrame, allowed: DataFrame | None,
-                options: SearchOptions, limit: int, profile) -> DataFrame:
+                options: SearchOptions, limit: int, profile,
+                limits: DataFrame | None = None) -> DataFrame:
     """Vector hits for the queries that blend them in and, where the keyword leg found
     nothing for a keyword-only query, in its place."""
     wanted = q.where(F.col("embedding").isNotNull() & (F.col("alpha_used") > 0))
@@ -165,7 +172,7 @@ def _vector_leg(index: Index, q: DataFrame, keyword: DataFrame, allowed: DataFra
         vectors = vectors.join(allowed, "doc_id", "left_semi")
     if not profile["vector"] and not profile["fallback"]:
         return _no_vector_hits(q)
-    return knn_topk(wanted, vectors, limit, lsh=options.lsh)
+    return knn_topk(wanted, vectors, limit, lsh=options.lsh, limits=limits)
 
 
 def _no_vector_hits(q: DataFrame) -> DataFrame:

@@ -278,6 +278,7 @@ quality AS (SELECT query_id, count(*) AS n_relevant, count(rank) AS n_found, cou
 VARIED = QUERIES.replace("0.5::DOUBLE AS alpha, 10 AS top_k, 0.5::DOUBLE AS alpha_used",
                          "(item_id % 5) / 4.0::DOUBLE AS alpha, 5 + item_id % 10 AS top_k, "
                          "(item_id % 5) / 4.0::DOUBLE AS alpha_used")
+ONE_LARGE = QUERIES.replace("10 AS top_k", "CASE WHEN item_id = 0 THEN 1500 ELSE 10 END AS top_k")
 FALLBACK = f"""q0 AS (SELECT item_id * 2 AS query_id, md5(text) AS query, 'en' AS query_lang,
   0.0::DOUBLE AS alpha, 10 AS top_k, 0.0::DOUBLE AS alpha_used, text AS vector_text FROM benchmark
   UNION ALL SELECT item_id * 2 + 1, text, {lang('text')}, 0.5, 10, 0.0, NULL FROM benchmark)"""
@@ -366,6 +367,7 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((y / l)::FLOAT::DOUBLE, 5) AS x
   CAST(bm25_rank AS BIGINT) AS rank FROM kw WHERE bm25_rank <= 10"""),
     "hybrid_search": search(), "hybrid_rrf": search(fusion="rrf"),
     "hybrid_alphas": search(queries=VARIED),
+    "bm25_large_topk": search(queries=ONE_LARGE, vectors=None), "hybrid_large_topk": search(queries=ONE_LARGE),
     "search_filtered": search(allowed="translation_paragraph IS NOT NULL AND book_id LIKE 'src1%'"),
     "search_fallback": search(queries=FALLBACK, vectors=(
         "qsrc AS (SELECT query_id, vector_text FROM q WHERE vector_text IS NOT NULL),\n"

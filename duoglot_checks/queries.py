@@ -334,6 +334,19 @@ def hybrid_alphas(spark, folder):
     return _hits(_search(spark, folder, queries=varied))
 
 
+def _one_large(spark, folder):
+    """One query asks for 1,500 hits, the others for 10."""
+    return _queries(spark, folder).withColumn("top_k", F.when(F.col("query_id") == 0, 1500).otherwise(10))
+
+
+def bm25_large_topk(spark, folder):
+    return _hits(_search(spark, folder, queries=_one_large(spark, folder), vectors=False))
+
+
+def hybrid_large_topk(spark, folder):
+    return _hits(_search(spark, folder, queries=_one_large(spark, folder)))
+
+
 def search_filtered(spark, folder):
     return _hits(_search(spark, folder, where=F.col("translation_paragraph").isNotNull()
                          & F.col("book_id").like("src1%")))
@@ -569,4 +582,5 @@ QUERIES = {f.__name__: f for f in (
     answer_nothing_found, rag_prompt, citations, vector_audit, index_vector_audit,
     pair_similarity, nearest_other, class_similarity, ranking_audit, retrieval_quality,
     retrieval_summary, encode_agreement, nested_results_all, search_explain, generator_answers,
-    retrieval_quality_short, encode_empty_texts, ensure_index, compact_index)}
+    retrieval_quality_short, encode_empty_texts, ensure_index, compact_index, bm25_large_topk,
+    hybrid_large_topk)}
