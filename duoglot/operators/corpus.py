@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from duoglot.config import CorpusConfig
 from duoglot.functions import text
 from duoglot.operators.topk import best_row_per_key
+from duoglot.session import work_folder
 
 FOLDED_SUFFIX = "_ascii"
+# Digests of repeated keys are broadcast up to this many (8 bytes each).
+BROADCAST_DIGESTS = 1_000_000
 
 
 def drop_folded_columns(df: DataFrame) -> DataFrame:
@@ -25,9 +28,26 @@ def deduplicate(df: DataFrame, keys: Sequence[str],
     The rows of one group differ only in the remaining columns; ordering by those makes
     the choice independent of how the input is split. Pass a line number in ``order_by``
     to keep the first row of a file.
+
+    Keys hold whole texts. So digests are counted first, 8 bytes a row through the exchange; only
+    rows whose digest occurs more than once are brought together and compared in full (two keys
+    of one digest just meet there for nothing). The other rows never leave their task.
+    The table is read again for that, so it must not change in between.
     """
     order = list(order_by or [c for c in df.columns if c not in keys]) or list(keys)
-    return best_row_per_key(df, keys, [F.col(c).asc_nulls_last() for c in order])
+    work_folder(df.sparkSession)
+    digest = F.xxhash64(*keys)
+    repeated = (df.select(digest.alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") > 1).select("_digest").checkpoint())
+    n_repeated = repeated.limit(BROADCAST_DIGESTS + 1).count()
+    if not n_repeated:
+        return df
+    if n_repeated <= BROADCAST_DIGESTS:
+        repeated = F.broadcast(repeated)
+    rows = df.withColumn("_digest", digest)
+    several = rows.join(repeated, "_digest", "left_semi").drop("_digest")
+    single = rows.join(repeated, "_digest", "left_anti").drop("_digest")
+    return single.unionByName(best_row_per_key(several, keys, [F.col(c).asc_nulls_last() for c in order]))
 
 
 def build_corpus(raw: DataFrame, config: CorpusConfig | None = None,

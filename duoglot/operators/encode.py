@@ -10,11 +10,15 @@ from duoglot.functions.text import concat_nonempty, tokens
 from duoglot.functions.vectors import (HASH_DIM, dense_from_sorted, hash_dimension, hash_sign,
                                        l2_normalize)
 from duoglot.operators.skew import ROWS_PER_SPLIT, hot_keys, salted_join
+from duoglot.session import work_folder
+from duoglot.sources.index_tables import FETCH_IDS, one_of, path_exists
 
 # A model plug-in: text column → array<float> column, for instance made with
 # pyspark.ml.functions.predict_batch_udf(…, batch_size=MODEL_BATCH).
 Encoder = Callable[[Column], Column]
 MODEL_BATCH = 512
+# Digests are broadcast up to this many (64 bytes each).
+BROADCAST_DIGESTS = 1_000_000
 
 
 def term_counts(texts: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
@@ -69,12 +73,14 @@ def _apply(df: DataFrame, text: Column, encoder: Encoder, on_empty: str, normali
 
 def encode(df: DataFrame, text_col: str, encoder: Encoder, id_col: str | None = None,
            reuse: bool = True, on_empty: str = "encode", normalize: bool = True,
-           output: str = "embedding", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+           output: str = "embedding", rows_per_split: int = ROWS_PER_SPLIT,
+           store: str | None = None) -> DataFrame:
     """Add a unit vector per row with a plugged-in model.
 
     With ``reuse`` each distinct text is encoded once and the vectors are joined back by a
     digest of the text, so repeated texts cost one model call. A text that fills a large
-    share of the rows is spread over several tasks by ``id_col``.
+    share of the rows is spread over several tasks by ``id_col``. With a ``store`` (see
+    :func:`stored_vectors`) texts that earlier jobs have encoded are not encoded again.
     """
     if not reuse:
         return _apply(df, F.col(text_col), encoder, on_empty, normalize, output)
@@ -82,13 +88,48 @@ def encode(df: DataFrame, text_col: str, encoder: Encoder, id_col: str | None =
     keyed = df.withColumn("_digest", F.sha2(F.encode(text, "UTF-8"), 256))
     groups = keyed.groupBy("_digest").agg(
         F.first(text).alias("_text"), F.count(F.lit(1)).alias("_copies"))
-    vectors = _apply(groups, F.col("_text"), encoder, on_empty, normalize, output)
+    if store is None:
+        vectors = _apply(groups, F.col("_text"), encoder, on_empty, normalize, output)
+    else:
+        vectors = stored_vectors(groups.select("_digest", "_text"), store, lambda new: _apply(
+            new, F.col("_text"), encoder, on_empty, normalize, output), output)
     hot = hot_keys(groups.select("_digest", "_copies"), ["_digest"], "_copies", df.count(), rows_per_split)
     spread_by = id_col or df.columns[0]
     return (salted_join(keyed, vectors.select("_digest", output), ["_digest"], spread_by, hot)
             .drop("_digest"))
 
 
+def stored_vectors(texts: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame],
+                   output: str = "embedding") -> DataFrame:
+    """``(_digest, output)`` of distinct texts ``(_digest, _text)``, from the Parquet table at ``path`` as
+    far as it has them; the others are computed, added to it, and returned too.
+
+    The table belongs to one model. It is sorted by digest within each job's files and carries a Bloom
+    filter: a few texts are looked up without reading the rest, more of them in one scan that
+    shuffles only what is found. Only finished jobs are seen; a failed one adds nothing.
+    """
+    spark = texts.sparkSession
+    work_folder(spark)
+    asked = texts.select("_digest").checkpoint()
+    few = asked.limit(FETCH_IDS + 1).count() <= FETCH_IDS
+    ids = [r["_digest"] for r in asked.collect()] if few else None
+
+    def known() -> DataFrame:
+        if not path_exists(spark, path):
+            return spark.createDataFrame([], f"_digest string, {output} array<float>")
+        table = spark.read.schema(f"_digest string, {output} array<float>").parquet(path)
+        table = table.where(one_of("_digest", sorted(ids))) if few else table.join(
+            F.broadcast(asked) if asked.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else asked,
+            "_digest", "left_semi")
+        # Two jobs at the same time may have added the same text.
+        return table.groupBy("_digest").agg(F.first(output).alias(output))
+
+    new = texts.join(known().select("_digest"), "_digest", "left_anti")
+    (compute(new).select("_digest", output).sortWithinPartitions("_digest").write.mode("append")
+     .option("parquet.bloom.filter.enabled#_digest", "true").parquet(path))
+    return known()
+
+
 def named_texts(corpus: DataFrame, text_columns: dict[str, str],
                 fused: str = "multilingual") -> DataFrame:
     """``(doc_id, vector_name, text)``: one row per language column, plus the fused text of

@@ -63,7 +63,7 @@ def latest_rows(corpus: DataFrame, order: Sequence[Column] | None = None) -> Dat
 
 
 def _vectors(docs: DataFrame, posted: DataFrame, settings: IndexSettings,
-             encoder: Encoder | None) -> DataFrame:
+             encoder: Encoder | None, store: str | None = None) -> DataFrame:
     """``(doc_id, vector_name, embedding)`` of indexed docs.
 
     The built-in encoder needs the term counts of the fused text only. Where those are
@@ -84,18 +84,20 @@ def _vectors(docs: DataFrame, posted: DataFrame, settings: IndexSettings,
     keys = ["doc_id", "vector_name"]
     if encoder is None:
         return hash_vectors(term_counts(texts, keys, "text"), keys)
-    return encode(texts, "text", encoder, id_col="doc_id").select(*keys, "embedding")
+    return encode(texts, "text", encoder, id_col="doc_id", store=store).select(*keys, "embedding")
 
 
 def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None = None,
-                 encoder: Encoder | None = None, batch: str | None = None) -> Index:
+                 encoder: Encoder | None = None, batch: str | None = None,
+                 vector_store: str | None = None) -> Index:
     """Add the paragraphs of ``corpus``; one with a known ``doc_id`` replaces the old row.
 
     Only the new rows are written; the rows they replace are noted in ``replaced``. The old
     texts of those are fetched by id and split into words once, for both statistics; the
     postings are not read. The cost follows the size of ``corpus``, apart from one look-up
     of its ids among those of the index (the id column alone). A ``batch`` name that is already in the manifest is skipped.
-    One writer at a time.
+    One writer at a time. ``vector_store`` is a table of the encoder's vectors by text that is kept
+    across jobs, so no text is encoded a second time.
     """
     if batch is not None and any(g[2] == batch for g in index.generations):
         return index
@@ -136,7 +138,7 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
     # Independent of each other: their tasks share the cluster.
     with ThreadPoolExecutor() as jobs:
         for job in (jobs.submit(index.write_bucketed, "vectors", _vectors(
-                        docs, posted, index.settings, encoder), gen),
+                        docs, posted, index.settings, encoder, vector_store), gen),
                     jobs.submit(index.write_small, "term_stats", term_stats, gen),
                     jobs.submit(index.write_small, "field_stats", field_stats, gen)):
             job.result()
@@ -147,7 +149,8 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
                 fields: Sequence[str] = (CONCAT,),
                 vector_columns: Mapping[str, str] | None = None,
                 encoder: Encoder | None = None, buckets: int | None = None,
-                order: Sequence[Column] | None = None) -> Index:
+                order: Sequence[Column] | None = None,
+                vector_store: str | None = None) -> Index:
     """Create the index at ``path`` if there is none and add ``corpus`` to it.
 
     ``buckets`` should bring a bucket to a few hundred MB; it defaults to the session's
@@ -157,7 +160,8 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
     """
     buckets = buckets or _shuffle_partitions(spark)
     settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}))
-    return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder)
+    return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder,
+                        vector_store=vector_store)
 
 
 def fitting_buckets(n_bytes: int, buckets: int, bucket_bytes: int = BUCKET_BYTES) -> int:

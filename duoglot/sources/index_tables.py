@@ -234,7 +234,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         (r["seq"], r["gen"], r["batch"], r["n_rows"], r["n_replaced"]) for r in rows])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
@@ -242,7 +242,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def open_or_declare(spark: SparkSession, path: str, settings: IndexSettings | None = None) -> Index:
     """The index at ``path``, or one without any generation yet if there is none."""
     path = path.rstrip("/")
-    if _exists(spark, f"{path}/manifest"):
+    if path_exists(spark, f"{path}/manifest"):
         return open_index(spark, path)
     settings = settings or IndexSettings()
     _declare_tables(spark, path, settings)

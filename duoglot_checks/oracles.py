@@ -433,5 +433,12 @@ FROM pairs GROUP BY label""",
     "retrieval_summary": search(more=PASSAGES, final="""SELECT count(*) AS n_queries,
   round(avg(hit::INT), 6) AS hit_rate, round(avg(recall), 6) AS mean_recall,
   round(avg(reciprocal_rank), 6) AS mrr FROM quality"""),
+    "encode_reuse": simple(corpus(), f"""again AS (SELECT coalesce({nfc("upper(pali)")}, '') || {SEP}
+  || coalesce({nfc("tr")}, '') AS multilingual_concat FROM raw)""", final="""SELECT (SELECT count(*) FROM corpus) AS n_vectors,
+  (SELECT count(*) FROM corpus) AS n_unit, (SELECT count(*) FROM (SELECT multilingual_concat FROM corpus
+  UNION SELECT multilingual_concat FROM again)) AS n_stored"""),
+    "wordless_judgments": simple(corpus(), final="""SELECT query_id, doc_id FROM corpus JOIN (SELECT item_id AS query_id,
+  regexp_extract(text, '[^\\p{L}\\p{N}\\p{M}]+') AS query FROM benchmark) ON query <> ''
+  AND contains(multilingual_concat, query)"""),
     "encode_agreement": simple(corpus(), final="SELECT doc_id, 0.0::DOUBLE AS max_difference FROM corpus"),
 }

@@ -538,6 +538,10 @@ def _hashing_model():
     return predict
 
 
+def _model():
+    return predict_batch_udf(_hashing_model, return_type=T.ArrayType(T.DoubleType()), batch_size=encode.MODEL_BATCH)
+
+
 def encode_agreement(spark, folder):
     """Vectors of the index against the same texts encoded by a plugged-in batch model."""
     index = _index(spark, folder, "documents")
@@ -548,6 +552,29 @@ def encode_agreement(spark, folder):
     return quality.encode_agreement(index.vectors(), other)
 
 
+def encode_reuse(spark, folder):
+    """Two upserts through one vector store: every text is encoded, and so stored, once."""
+    documents, store = _raw(spark, folder), _folder(spark, "vectors")
+    revised = documents.withColumn("pali_paragraph", F.upper("pali_paragraph"))
+    model = _model()
+    index = index_plan.build_index(spark, corpus_ops.build_corpus(documents), _folder(spark, "reuse"),
+                                   encoder=model, vector_store=store)
+    index = index_plan.upsert_index(index, corpus_ops.build_corpus(revised), encoder=model, vector_store=store)
+    return index.vectors().agg(
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.count_if(F.abs(vectors.norm("embedding") - 1) < 1e-5).alias("n_unit"),
+        F.lit(spark.read.parquet(store).count()).cast("bigint").alias("n_stored"))
+
+
+def wordless_judgments(spark, folder):
+    """What stands between the first two words of each query text, as a query of its own."""
+    asked = _queries(spark, folder).select("query_id", F.regexp_substr(
+        "query", F.lit(r"[^\p{L}\p{N}\p{M}]+")).alias("query")).where("query IS NOT NULL")
+    index = _index(spark, folder, "documents")
+    posted = index.postings().where(F.col("field") == "multilingual_concat")
+    return quality.passage_judgments(asked, index.docs(), posted)
+
+
 def encode_empty_texts(spark, folder):
     """Empty and missing texts through a plugged-in model."""
     kept = F.when(F.col("doc_id") % 7 > 1, F.col("text")).when(F.col("doc_id") % 7 == 1, F.lit(""))
@@ -583,4 +610,4 @@ QUERIES = {f.__name__: f for f in (
     pair_similarity, nearest_other, class_similarity, ranking_audit, retrieval_quality,
     retrieval_summary, encode_agreement, nested_results_all, search_explain, generator_answers,
     retrieval_quality_short, encode_empty_texts, ensure_index, compact_index, bm25_large_topk,
-    hybrid_large_topk)}
+    hybrid_large_topk, encode_reuse, wordless_judgments)}
