@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
-from functools import cache, reduce
+from functools import reduce
 from operator import or_
 
 import pandas as pd
@@ -49,31 +49,13 @@ class _Folds(dict):
 _FOLDS = _Folds()
 
 
-# Runs of fewer characters than this are left to the Unicode library.
-QUICK_RUN = 64
-
-
-@cache
-def quick_check_class() -> str:
-    """Regular expression class of all characters but those that NFC never changes, whatever stands
-    next to them: own normal form, no combining class, never the second part of a composition. Only
-    long runs of such characters are listed, so that the class stays short."""
-    second = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}     # Hangul vowels and finals
-    blocks = [*range(0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x20000)]
-    for code in blocks:
-        parts = unicodedata.decomposition(chr(code)).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            second.add(int(parts[1], 16))
-    runs: list[list[int]] = []
-    for code in blocks:
-        c = chr(code)
-        if code in second or unicodedata.combining(c) or unicodedata.normalize("NFC", c) != c:
-            continue
-        if runs and runs[-1][1] == code - 1:
-            runs[-1][1] = code
-        else:
-            runs.append([code, code])
-    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs if b - a >= QUICK_RUN) + "]"
+# Ranges of characters that NFC never changes, whatever stands next to them: they are their own
+# normal form, have no combining class and are never the second part of a composition. Latin,
+# Cyrillic, more Latin, dashes and quotes, kana, Chinese, Korean syllables. Few, as a class is tested
+# range by range for every character.
+NFC_STABLE = ("\\x{0}-\\x{2ff}", "\\x{400}-\\x{482}", "\\x{1e00}-\\x{1eff}", "\\x{2010}-\\x{2027}",
+              "\\x{3041}-\\x{3096}", "\\x{30a1}-\\x{30fa}", "\\x{4e00}-\\x{9fff}", "\\x{ac00}-\\x{d7a3}")
+NFC_UNSURE = "[^" + "".join(NFC_STABLE) + "]"
 
 
 @F.pandas_udf(T.StringType())
@@ -87,8 +69,9 @@ def _fold_batch(texts: pd.Series) -> pd.Series:
 
 
 def _where(needed: Column, c: Column, batch) -> Column:
-    """Apply ``batch`` to the texts that need it; the others go past it as nulls."""
-    return F.when(needed, batch(F.when(needed, c))).otherwise(c)
+    """Apply ``batch`` to the texts that need it; the others go past it as nulls. The test is made
+    once: what comes back null did not need it."""
+    return F.coalesce(batch(F.when(needed, c)), c)
 
 
 def as_column(c: Column | str) -> Column:
@@ -104,7 +87,8 @@ def normalize_nfc(c: Column | str) -> Column:
     """NFC form, trimmed; null stays null. Texts whose characters NFC never changes, which is nearly all
     text that is stored in NFC, stay in the JVM."""
     c = as_column(c)
-    return strip(_where(c.rlike(quick_check_class()), c, _nfc_batch))
+    unsure = (F.octet_length(c) > F.length(c)) & c.rlike(NFC_UNSURE)
+    return strip(_where(unsure, c, _nfc_batch))
 
 
 def strip_diacritics(c: Column | str) -> Column:

@@ -49,8 +49,8 @@ SMALL = {"replaced": "doc_id string, dead_gen string",
 # Replaced rows are broadcast up to this many (about 60 bytes each).
 BROADCAST_REPLACED = 1_000_000
 # Up to this many documents are fetched by a list of ids (about 100 bytes each in the plan).
-FETCH_IDS = 5_000
-# Lists of up to ten values are pushed to Parquet as they are, longer ones as their range.
+FETCH_IDS = 1_000
+# Parquet gets lists of up to ten values as single values, which skip pages, longer ones as one range.
 IDS_PER_LIST = 10
 
 

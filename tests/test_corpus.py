@@ -101,3 +101,19 @@ def test_union_fills_absent_columns(spark):
     b = spark.createDataFrame([("2", "y")], "id string, b string")
     assert sorted(tuple(r) for r in source.union_corpora([a, b]).fillna("-").collect()) == [
         ("1", "x", "-"), ("2", "-", "y")]
+
+
+def test_deduplication_shuffles_digests_first(spark):
+    from duoglot.operators.corpus import deduplicate
+    rows = [(i, f"k{i % 50}" if i % 3 else None, "t" * (i % 4), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "n long, k string, t string, line long").repartition(7)
+    want = {}
+    for n, k, t, line in rows:
+        want[k, t] = min(want.get((k, t), 10**9), line)
+    got = deduplicate(df, ["k", "t"], ["line"])
+    assert got.columns == df.columns
+    assert {(r["k"], r["t"]): r["line"] for r in got.collect()} == want and got.count() == len(want)
+    # Without a repeated key nothing is shuffled at all.
+    single = deduplicate(df.dropDuplicates(["k", "t"]).select("n", "k", "t").checkpoint(), ["k", "t"])
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    assert deduplicate(df.limit(0), ["k", "t"]).count() == 0

@@ -169,3 +169,23 @@ def test_nearest_other_and_pairs(spark):
     pairs = spark.createDataFrame([(1, 3), (3, 1), (1, 1)], "left_id long, right_id long")
     sims = {(r["left_id"], r["right_id"]): r["similarity"] for r in quality.pair_similarity(pairs, df).collect()}
     assert sims[(1, 3)] == sims[(3, 1)] == 0.0 and math.isclose(sims[(1, 1)], 1.0)
+
+
+def test_stored_vectors_are_reused(spark, tmp_path, monkeypatch):
+    """A model that stamps what it computes: later jobs get the stamps of the first one."""
+    store = str(tmp_path / "store")
+
+    def model(stamp):
+        return lambda text: F.array(F.length(text).cast("float"), F.lit(float(stamp)).cast("float"))
+
+    first = spark.createDataFrame([(i, f"text {i % 4}") for i in range(20)] + [(20, None)], "id long, text string")
+    got = encode.encode(first, "text", model(1), normalize=False, store=store)
+    assert {tuple(r["embedding"]) for r in got.collect()} == {(6.0, 1.0), (0.0, 1.0)} and got.count() == 21
+    assert spark.read.parquet(store).count() == 5
+    for few in (1_000, 0):
+        monkeypatch.setattr(encode, "FETCH_IDS", few)
+        more = spark.createDataFrame([(1, "text 1"), (2, ""), (3, f"other {few}")], "id long, text string")
+        rows = encode.encode(more, "text", model(2), normalize=False, store=store).collect()
+        assert {r["id"]: r["embedding"][1] for r in rows} == {1: 1.0, 2: 1.0, 3: 2.0}
+    assert spark.read.parquet(store).count() == 7
+    assert encode.encode(first.limit(0), "text", model(3), store=store).count() == 0
