@@ -174,18 +174,19 @@ def cut_passages(documents: DataFrame, length: int = 50, k: int = 12, id_col: st
     id keeps its text; a null text counts as empty. Columns of the new names are replaced.
     """
     kept = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept_text")]
-    rows = documents.select(*kept).withColumns({
-        "_doc": F.col(id_col).cast("long"), "_key": F.xxhash64(text_col)})
-    spans = (repeated_spans(documents, length, k, id_col, text_col)
-             .groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"))
-             .agg(F.collect_set(F.struct("start", "n")).alias("_spans")))
+    # The row travels as one column: whatever its columns are called, they meet no name used here.
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"),
+        F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
+    spans = (repeated_spans(documents, length, k, id_col, text_col).groupBy("doc", "text_key")
+             .agg(F.collect_set(F.struct("start", "n")).alias("spans")))
     schema = T.StructType([*documents.select(*kept).schema, T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text_col):
+        for part in chunks(batches, "text"):
             total, removed, texts = [], [], []
-            for text, spans_ in zip(part.column(text_col).to_pylist(), part.column("_spans").to_pylist()):
+            for text, spans_ in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                 found = words(text)
                 total.append(len(found))
                 if spans_:
@@ -200,9 +201,8 @@ def cut_passages(documents: DataFrame, length: int = 50, k: int = 12, id_col: st
                     removed.append(0)
                 texts.append(text)
             yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in kept]
+                part.column("row").flatten()
                 + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
                 names=schema.names)
 
-    return (rows.join(spans, (rows["_doc"] == spans["_doc"]) & (rows["_key"] == spans["_key"]), "left")
-            .select(*[rows[c] for c in kept], "_spans").mapInArrow(cut, schema))
+    return rows.join(spans, ["doc", "text_key"], "left").select("row", "text", "spans").mapInArrow(cut, schema)

@@ -86,6 +86,16 @@ def test_substring_dedup(corpus, empty):
     assert substring_dedup.cut_passages(empty).count() == 0
 
 
+def test_substring_dedup_with_clashing_columns(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    names = ["_doc", "_key", "_spans", "doc", "text_key", "row", "spans", "start", "n", "a.b"]
+    rows = [(1, passage, *["x"] * len(names)), (2, "so " + passage, *["y"] * len(names)), (3, None, *[None] * len(names))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = {r["doc_id"]: r for r in substring_dedup.cut_passages(table).collect()}
+    assert (got[2]["n_removed"], got[2]["kept_text"], got[1]["n_removed"]) == (60, "so", 0)
+    assert [got[i][n] for i in (1, 2, 3) for n in names] == ["x"] * len(names) + ["y"] * len(names) + [None] * len(names)
+
+
 def test_token_counts(corpus, empty):
     tokenizer = Tokenizer.from_file(BYTES)
     got = token_counts.count_tokens(corpus, BYTES, public_tokenizers.PATTERN, ("<|endoftext|>",))
