@@ -180,7 +180,7 @@ def cut_passages(documents: DataFrame, length: int = 50, k: int = 12, id_col: st
         F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     spans = (repeated_spans(documents, length, k, id_col, text_col).groupBy("doc", "text_key")
              .agg(F.collect_set(F.struct("start", "n")).alias("spans")))
-    schema = T.StructType([*documents.select(*kept).schema, T.StructField("n_words", T.LongType()),
+    schema = T.StructType([*[f for f in documents.schema if f.name in kept], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
