@@ -17,7 +17,7 @@ from duoglot_checks import queries as registered
 
 HEADLINE = ("corpus_ingest", "csv_ingest", "fold_text", "query_analysis", "postings",
             "hash_encode", "knn_cosine", "knn_tiled", "knn_lsh", "bm25_topk", "bm25_fields",
-            "hybrid_search", "hybrid_rrf", "search_filtered", "search_fallback",
+            "hybrid_search", "hybrid_rrf", "search_lsh", "search_filtered", "search_fallback",
             "rerank_overlap", "named_vector_search", "extractive_answer", "rag_prompt",
             "retrieval_quality", "index_upsert")
 

@@ -11,6 +11,7 @@ from duoglot.config import CorpusConfig
 from duoglot.functions.text import has_token, uuid5_dns
 from duoglot.functions.vectors import single_term_vector
 from duoglot.operators import lexical
+from duoglot.operators.codes import Codes
 from duoglot.operators.corpus import FOLDED_SUFFIX
 from duoglot.operators.encode import (Encoder, encode, hash_vectors, named_texts, term_counts)
 from duoglot.operators.topk import best_row_per_key
@@ -135,10 +136,13 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
                 .where(F.col("df") != 0))
             field_stats = field_stats.unionByName(lexical.field_statistics(gone).select(
                 "field", (-F.col("n_docs")).alias("n_docs"), (-F.col("sum_dl")).alias("sum_dl")))
+    def write_vectors() -> None:
+        index.write_bucketed("vectors", _vectors(docs, posted, index.settings, encoder, vector_store), gen)
+        index.write_codes(gen)
+
     # Independent of each other: their tasks share the cluster.
     with ThreadPoolExecutor() as jobs:
-        for job in (jobs.submit(index.write_bucketed, "vectors", _vectors(
-                        docs, posted, index.settings, encoder, vector_store), gen),
+        for job in (jobs.submit(write_vectors),
                     jobs.submit(index.write_small, "term_stats", term_stats, gen),
                     jobs.submit(index.write_small, "field_stats", field_stats, gen)):
             job.result()
@@ -150,16 +154,17 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
                 vector_columns: Mapping[str, str] | None = None,
                 encoder: Encoder | None = None, buckets: int | None = None,
                 order: Sequence[Column] | None = None,
-                vector_store: str | None = None) -> Index:
+                vector_store: str | None = None, codes: Codes | None = None) -> Index:
     """Create the index at ``path`` if there is none and add ``corpus`` to it.
 
     ``buckets`` should bring a bucket to a few hundred MB; it defaults to the session's
     shuffle partitions (with which the docs are written without an extra shuffle), and
     compaction adjusts it to the stored bytes. ``vector_columns`` (name → text column) adds
-    a vector per language to the fused one.
+    a vector per language to the fused one. ``codes`` adds an inverted table of the vectors, for
+    searches with ``probes``.
     """
     buckets = buckets or _shuffle_partitions(spark)
-    settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}))
+    settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}), codes)
     return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder,
                         vector_store=vector_store)
 
@@ -179,7 +184,8 @@ def compact_index(index: Index, path: str, encoder: Encoder | None = None,
     n_bytes = index.docs().agg(F.sum(F.octet_length(CONCAT))).first()[0] or 0
     return build_index(index.spark, index.docs(), path, index.settings.fields,
                        index.settings.vector_columns, encoder,
-                       fitting_buckets(n_bytes, index.settings.buckets, bucket_bytes))
+                       fitting_buckets(n_bytes, index.settings.buckets, bucket_bytes),
+                       codes=index.settings.codes)
 
 
 def index_summary(index: Index) -> DataFrame:

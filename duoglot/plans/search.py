@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duoglot.functions import text
 from duoglot.operators import answers as answer_ops
-from duoglot.operators import hybrid, lexical
+from duoglot.operators import codes, hybrid, lexical
 from duoglot.operators.encode import Encoder, encode, hash_encode
 from duoglot.operators.knn import knn_topk
 from duoglot.plans.index import FUSED
@@ -30,7 +30,9 @@ class SearchOptions:
     ``fields`` maps the searched text fields to weights; ``where`` is a condition on the
     columns of the docs, applied to both legs (term statistics stay those of the whole
     index); ``vectors=False`` runs the keyword leg only; ``lsh`` makes the vector leg
-    approximate; from ``prune_from`` postings to score on, the keyword leg leaves out
+    approximate, with codes of all vectors formed in the search; ``probes`` does so with the codes that
+    the index keeps: that many buckets of every table are read for a query, and documents met in
+    at least ``shared_tables`` tables are compared; from ``prune_from`` postings to score on, the keyword leg leaves out
     documents that cannot reach the top.
     """
 
@@ -44,6 +46,8 @@ class SearchOptions:
     fusion: str = "relative"
     scorer: hybrid.Scorer | None = None
     lsh: tuple[int, int] | None = None
+    probes: int = 0
+    shared_tables: int = 1
     explain: bool = False
     prune_from: int = lexical.PRUNE_FROM
 
@@ -167,14 +171,38 @@ def _vector_leg(index: Index, q: DataFrame, keyword: DataFrame, allowed: DataFra
         unanswered = q.where(F.col("embedding").isNotNull() & (F.col("alpha_used") == 0)).join(
             keyword.select("query_id").distinct(), "query_id", "left_anti")
         wanted = wanted.unionByName(unanswered)
+    if not profile["vector"] and not profile["fallback"]:
+        return _no_vector_hits(q)
+    if options.probes:
+        return _stored_codes_leg(index, wanted, allowed, options, limit, limits)
     vectors = index.vectors(options.vector_name)
     if allowed is not None:
         vectors = vectors.join(allowed, "doc_id", "left_semi")
-    if not profile["vector"] and not profile["fallback"]:
-        return _no_vector_hits(q)
     return knn_topk(wanted, vectors, limit, lsh=options.lsh, limits=limits)
 
 
+def _stored_codes_leg(index: Index, wanted: DataFrame, allowed: DataFrame | None, options: SearchOptions,
+                      limit: int, limits: DataFrame | None) -> DataFrame:
+    """Buckets near the queries, documents met there, and only then the vectors of those."""
+    if index.settings.codes is None:
+        raise ValueError("the index has no codes")
+    # Met by several steps below; a fallback's keyword leg is not run again for each.
+    wanted = wanted.select("query_id", "embedding").checkpoint()
+    probed = codes.probe_rows(wanted, index.settings.codes, options.probes).checkpoint()
+    buckets = probed.select("bucket").distinct().limit(FETCH_IDS + 1).collect()
+    few = [r["bucket"] for r in buckets] if len(buckets) <= FETCH_IDS else None
+    rows = index.codes(options.vector_name, few)
+    if allowed is not None:
+        rows = rows.join(allowed, "doc_id", "left_semi")
+    if probed.count() <= codes.BROADCAST_PROBES:
+        probed = F.broadcast(probed)
+    pairs = codes.met_documents(rows, probed, options.shared_tables).checkpoint()
+    met = pairs.select("doc_id").distinct().limit(FETCH_IDS + 1).collect()
+    vectors = (index.vectors_of([r["doc_id"] for r in met], options.vector_name)
+               if len(met) <= FETCH_IDS else index.vectors(options.vector_name))
+    return codes.nearest_of(wanted, pairs, vectors, limit, limits)
+
+
 def _no_vector_hits(q: DataFrame) -> DataFrame:
     return q.where(F.lit(False)).select(
         "query_id", F.lit("").alias("doc_id"), F.lit(0.0).alias("vector_score"),

@@ -4,10 +4,11 @@
 * ``vectors`` – ``(doc_id, vector_name, embedding)``
 * ``postings`` – ``(doc_id, field, term, tf, dl)``
 * ``term_stats`` / ``field_stats`` – counts, as differences per generation
+* ``codes`` – ``(bucket, doc_id)``, the inverted table of an approximate search, if there are codes
 * ``replaced`` – ``(doc_id, gen)`` rows that a later generation has replaced
 * ``manifest`` – one row per finished generation
 
-The first three are Parquet tables bucketed by ``doc_id``: building postings and vectors
+``docs``, ``vectors`` and ``postings`` are Parquet tables bucketed by ``doc_id``: building postings and vectors
 from ``docs``, summing scores per document and finding replaced rows need no shuffle of
 them. A generation counts once its manifest row is written; whatever a failed attempt left
 behind belongs to a generation nobody reads.
@@ -23,6 +24,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from duoglot.operators.codes import Codes, code_rows
+
 DOCS_SCHEMA = T.StructType([
     T.StructField(name, T.StringType()) for name in (
         "uuid", "doc_id", "book_id", "para_id", "pali_paragraph", "pali_paragraph_ascii",
@@ -41,11 +44,12 @@ MANIFEST_SCHEMA = "seq int, gen string, batch string, n_rows bigint, n_replaced
 
 # Schema, partition columns, columns that a bucket is sorted by.
 BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"], ["doc_id"]),
-            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"], []),
+            "vectors": (VECTORS_SCHEMA, ["gen", "vector_name"], ["doc_id"]),
             "postings": (POSTINGS_SCHEMA, ["gen", "field"], [])}
 SMALL = {"replaced": "doc_id string, dead_gen string",
          "term_stats": "field string, term string, df bigint",
          "field_stats": "field string, n_docs bigint, sum_dl bigint"}
+CODES = "doc_id string, bucket int, gen string, vector_name string"
 # Replaced rows are broadcast up to this many (about 60 bytes each).
 BROADCAST_REPLACED = 1_000_000
 # Up to this many documents are fetched by a list of ids (about 100 bytes each in the plan).
@@ -56,11 +60,12 @@ IDS_PER_LIST = 10
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """Fixed when the index is created."""
+    """Fixed when the index is created. With ``codes`` an inverted table of the vectors is kept."""
 
     fields: tuple[str, ...] = ("multilingual_concat",)
     buckets: int = 8
     vector_columns: dict[str, str] = field(default_factory=dict)
+    codes: Codes | None = None
 
 
 def one_of(column: str, values: Sequence[str]) -> Column:
@@ -136,6 +141,23 @@ class Index:
         rows = self._table("vectors").where(F.col("vector_name") == name)
         return self._live(rows).select("doc_id", "embedding")
 
+    def vectors_of(self, ids: Sequence[str], name: str = "multilingual") -> DataFrame:
+        """The current vectors of some documents, at most ``FETCH_IDS``."""
+        if len(ids) > FETCH_IDS:
+            raise ValueError(f"more than {FETCH_IDS} ids")
+        rows = self._table("vectors").where((F.col("vector_name") == name) & one_of("doc_id", sorted(ids)))
+        return self._live(rows).select("doc_id", "embedding")
+
+    def codes(self, name: str = "multilingual", buckets: Sequence[int] | None = None) -> DataFrame:
+        """``(bucket, doc_id)`` of the current rows, of some buckets only if given."""
+        if self.settings.codes is None:
+            raise ValueError("the index has no codes")
+        rows = self.spark.read.schema(CODES).parquet(f"{self.path}/codes").where(
+            F.col("gen").isin(self._finished) & (F.col("vector_name") == name))
+        if buckets is not None:
+            rows = rows.where(one_of("bucket", sorted(buckets)))
+        return self._live(rows).select("bucket", "doc_id")
+
     def postings(self) -> DataFrame:
         return self._live(self._table("postings")).drop("gen")
 
@@ -174,9 +196,20 @@ class Index:
                   .write.format("parquet").mode("append").partitionBy(*partitions)
                   .bucketBy(self.settings.buckets, "doc_id"))
         if order:
+            # Few rows are fetched by id: only the pages with them are read.
             writer = writer.sortBy(*order).option("parquet.bloom.filter.enabled#doc_id", "true")
         writer.option("path", f"{self.path}/{kind}").saveAsTable(name)
 
+    def write_codes(self, gen: str) -> None:
+        """The inverted table of the generation's vectors. Rows are in the order of buckets over all files, so
+        a search reads the pages of its buckets; a bucket of any size is spread over files by ``doc_id``."""
+        if self.settings.codes is None:
+            return
+        order = ["vector_name", "bucket", "doc_id"]
+        rows = code_rows(self.of_generation("vectors", gen), self.settings.codes)
+        (rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("gen", F.lit(gen))
+         .write.mode("append").partitionBy("gen", "vector_name").parquet(f"{self.path}/codes"))
+
     def write_small(self, kind: str, rows: DataFrame, gen: str) -> None:
         (rows.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen")
          .parquet(f"{self.path}/{kind}"))
@@ -185,7 +218,8 @@ class Index:
                n_replaced: int) -> "Index":
         row = (seq, gen, batch, n_rows, n_replaced, json.dumps({
             "fields": list(self.settings.fields), "buckets": self.settings.buckets,
-            "vector_columns": self.settings.vector_columns}))
+            "vector_columns": self.settings.vector_columns,
+            "codes": self.settings.codes and [self.settings.codes.tables, self.settings.codes.bits]}))
         (self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").json(f"{self.path}/manifest"))
         return open_index(self.spark, self.path)
@@ -227,7 +261,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     rows = sorted(spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest").collect(),
                   key=lambda r: r["seq"])
     raw = json.loads(rows[-1]["settings"])
-    settings = IndexSettings(tuple(raw["fields"]), raw["buckets"], raw["vector_columns"])
+    codes = Codes(*raw["codes"]) if raw.get("codes") else None
+    settings = IndexSettings(tuple(raw["fields"]), raw["buckets"], raw["vector_columns"], codes)
     _declare_tables(spark, path, settings)
     _find_partitions(spark, path)
     return Index(spark, path, settings, [
@@ -259,4 +294,5 @@ def ensure_index(spark: SparkSession, path: str, settings: IndexSettings | None
         index.write_bucketed(kind, spark.createDataFrame([], schema), gen)
     for kind, ddl in SMALL.items():
         index.write_small(kind, spark.createDataFrame([], ddl), gen)
+    index.write_codes(gen)
     return index.finish(seq, gen, None, 0, 0)

@@ -124,6 +124,30 @@ vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
   JOIN (SELECT query_id, top_k FROM q) USING (query_id) WHERE vector_rank <= greatest(100, top_k))"""
 
 
+def code_leg(tables: int = 32, bits: int = 8, probes: int = 8, shared: int = 2) -> str:
+    """``vector_leg`` among the documents met in the nearest buckets; also ``exact``, the leg without them."""
+    def margins(name: str, key: str) -> str:
+        return f"""{name}m AS (SELECT {key}, p // {bits} AS tab, {bits - 1} - p % {bits} AS bit,
+  CAST(floor(sum(x * s) * 10000 + 0.5) AS BIGINT) AS m FROM {name} JOIN planes ON i = dim GROUP BY {key}, p),
+{name}c AS (SELECT {key}, tab, sum(CASE WHEN m >= 0 THEN 1 << bit ELSE 0 END)::BIGINT AS code
+  FROM {name}m GROUP BY ALL)"""
+    return f"""planes AS MATERIALIZED (SELECT p, i, CASE WHEN substr(md5(p || ':' || i), 1, 1) < '8'
+  THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM range({tables * bits}) a(p), range(768) b(i)),
+{margins('qv', 'query_id')},
+{margins('dv', 'doc_id')},
+ways AS (SELECT query_id, tab, mask, sum(CASE WHEN (mask >> bit) & 1 = 1 THEN m * m ELSE 0 END) AS cost
+  FROM qvm CROSS JOIN (SELECT range AS mask FROM range({1 << bits})) GROUP BY ALL),
+probed AS (SELECT query_id, tab, code FROM (SELECT query_id, tab, xor(code, mask) AS code,
+  row_number() OVER (PARTITION BY query_id, tab ORDER BY cost, xor(code, mask)) AS n
+  FROM ways JOIN qvc USING (query_id, tab)) WHERE n <= {probes}),
+met AS (SELECT query_id, doc_id FROM probed JOIN dvc USING (tab, code) GROUP BY ALL HAVING count(*) >= {shared}),
+""" + vector_leg().replace("asked_vec AS", "asked_vec AS MATERIALIZED").replace(
+        "vec AS (SELECT * FROM (SELECT *, row", "exact AS (SELECT * FROM (SELECT *, row") + """,
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY vector_score DESC, doc_id) AS vector_rank FROM sims JOIN met USING (query_id, doc_id))
+  JOIN (SELECT query_id, top_k FROM q) USING (query_id) WHERE vector_rank <= greatest(100, top_k))"""
+
+
 NO_VECTORS = """vec AS (SELECT query_id, '' AS doc_id, 0.0::DOUBLE AS vector_score,
   0 AS vector_rank FROM q WHERE false)"""
 
@@ -179,7 +203,7 @@ def search(final: str = SELECT_HITS, kind: str = "documents", queries: str = QUE
            vectors: str | None = "default", fields: dict[str, str] | None = None,
            weights: dict[str, float] | None = None, allowed: str = "true",
            fusion: str = "relative", hits: str = PLAIN_HITS, doc_text: str = "multilingual_concat",
-           more: str = "") -> str:
+           more: str = "", leg: str | None = None) -> str:
     parts = [corpus(kind), queries]
     if vectors is None:
         parts += ["q1 AS (SELECT * REPLACE (0.0::DOUBLE AS alpha_used) FROM q0)",
@@ -194,7 +218,7 @@ def search(final: str = SELECT_HITS, kind: str = "documents", queries: str = QUE
             parts.append(hashed("qv", "q", "query_id", "query"))
         else:
             parts.append(vectors)
-        parts += [hashed("dv", "corpus", "doc_id", doc_text), vector_leg(allowed)]
+        parts += [hashed("dv", "corpus", "doc_id", doc_text), leg or vector_leg(allowed)]
     parts += [blend(fusion), hits]
     if more:
         parts.append(more)
@@ -365,6 +389,11 @@ SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((y / l)::FLOAT::DOUBLE, 5) AS x
     "bm25_salted": simple(corpus(), QUERIES, ANALYSED, postings(), keyword_leg(),
                           final="""SELECT query_id, doc_id, bm25_score AS score,
   CAST(bm25_rank AS BIGINT) AS rank FROM kw WHERE bm25_rank <= 10"""),
+    "search_lsh": search(queries=QUERIES.replace("0.5::DOUBLE", "1.0::DOUBLE"), leg=code_leg()),
+    "lsh_recall": search(queries=QUERIES.replace("0.5::DOUBLE", "1.0::DOUBLE"), leg=code_leg(),
+                         final="""SELECT query_id, count(*) AS n_nearest, count(h.doc_id) AS n_found
+  FROM exact e LEFT JOIN (SELECT query_id AS qid, doc_id FROM hits) h ON qid = query_id AND h.doc_id = e.doc_id
+  WHERE vector_rank <= 10 GROUP BY query_id"""),
     "hybrid_search": search(), "hybrid_rrf": search(fusion="rrf"),
     "hybrid_alphas": search(queries=VARIED),
     "bm25_large_topk": search(queries=ONE_LARGE, vectors=None), "hybrid_large_topk": search(queries=ONE_LARGE),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from duoglot.config import CorpusConfig
 from duoglot.functions import text, vectors
+from duoglot.operators.codes import Codes
 from duoglot.operators import answers, corpus as corpus_ops, encode, knn, lexical, quality
 from duoglot.plans import index as index_plan, ingest, search as search_plan
 from duoglot.plans.search import SearchOptions
@@ -25,6 +26,8 @@ from duoglot.streaming.upsert import stream_upsert
 ASCII = CorpusConfig(ascii_columns=True)
 FIELDS = ("multilingual_concat", "pali_paragraph_ascii", "translation_paragraph_ascii")
 LSH = (8, 6)
+CODES = Codes(32, 8)
+PROBES = {"probes": 8, "shared_tables": 2}
 _built: dict[tuple[str, str, str], str] = {}
 _runs = iter(range(10**9))
 
@@ -61,7 +64,7 @@ def _index(spark: SparkSession, folder: str, kind: str) -> Index:
         path = _folder(spark, kind)
         if kind == "documents":
             index_plan.build_index(spark, corpus_ops.build_corpus(_raw(spark, folder), ASCII),
-                                   path, FIELDS)
+                                   path, FIELDS, codes=CODES)
         else:
             index_plan.build_index(spark, corpus_ops.build_corpus(_conversations(spark, folder)),
                                    path, vector_columns=index_plan.LANGUAGE_COLUMNS)
@@ -347,6 +350,24 @@ def hybrid_large_topk(spark, folder):
     return _hits(_search(spark, folder, queries=_one_large(spark, folder)))
 
 
+def _vector_only(spark, folder):
+    return _queries(spark, folder).withColumn("alpha", F.lit(1.0))
+
+
+def search_lsh(spark, folder):
+    """Vector search by the codes that the index keeps."""
+    return _hits(_search(spark, folder, queries=_vector_only(spark, folder), **PROBES))
+
+
+def lsh_recall(spark, folder):
+    """How many of the ten nearest documents the search by codes finds."""
+    exact = _search(spark, folder, queries=_vector_only(spark, folder)).select("query_id", "doc_id")
+    found = _search(spark, folder, queries=_vector_only(spark, folder), **PROBES).select(
+        "query_id", "doc_id", F.lit(1).alias("found"))
+    return exact.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_nearest"), F.count("found").alias("n_found"))
+
+
 def search_filtered(spark, folder):
     return _hits(_search(spark, folder, where=F.col("translation_paragraph").isNotNull()
                          & F.col("book_id").like("src1%")))
@@ -610,4 +631,5 @@ QUERIES = {f.__name__: f for f in (
     pair_similarity, nearest_other, class_similarity, ranking_audit, retrieval_quality,
     retrieval_summary, encode_agreement, nested_results_all, search_explain, generator_answers,
     retrieval_quality_short, encode_empty_texts, ensure_index, compact_index, bm25_large_topk,
-    hybrid_large_topk, encode_reuse, wordless_judgments)}
+    hybrid_large_topk, encode_reuse, wordless_judgments,
+    search_lsh, lsh_recall)}
