@@ -3,12 +3,18 @@
 1. Every page is read as tokens: its tags, each told apart by the containers around it. Tokens of a
    host whose counts agree on all its pages have the same occurrence vector; a hash of the
    vector is formed by sums, so that a host of any size needs one small row per token and task.
-2. Tokens with one occurrence vector are an equivalence class. Large classes that most pages
-   have belong to the template. The class of tokens that stand once in every page is its root;
-   a class nests in the slot whose container encloses its tokens.
-3. A slot is what a container holds besides nested containers. Slots whose text never changes on a host,
-   slots of links and those of boilerplate containers belong to the template's own text;
-   the remaining slots, inside the article where the template has one, are extracted.
+2. Tokens with one occurrence vector are an equivalence class (``classes``). A class is valid if its tokens
+   stand once in a page and at least half of the host's pages have it. It nests in the slot of the
+   innermost container around all its tokens that is not its own; valid classes whose slots belong to valid classes
+   again, up to the outermost container, make up the template.
+3. A slot is what a container holds besides nested containers. Text that never changes on a host is the template's
+   own. The data region is a container of the template that holds the greater part of the words that
+   change and are not links: the innermost one with the page's changing first-level heading, if any has it.
+   What it holds is extracted, without the template's own text.
+
+Names of elements only decide where occurrences cannot: between nested containers that all hold the greater part
+(an ``article`` or ``main`` goes first), boilerplate that changes from page to page as the article
+does (adverts, reader comments, menus of links), and pages without the data region.
 """
 
 from __future__ import annotations
@@ -16,10 +22,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duoglot.llm.common import chunks
 
@@ -40,6 +47,11 @@ MARKUP = re.compile(
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s++|\"[^\"]*\"|'[^']*'|[^\s\"'>]++|[\"'])*+)>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SMALLEST_SUPPORT, CONSTANT_PAGES, LINK_SHARE = 0.5, 3, 0.5
+# A region holds more than half of the data's words; one without a telling name more than this.
+REGION_SHARE, NAMELESS_SHARE = 0.5, 0.75
+# A path names this many containers; deeper ones share the slot of the last of them, but for their own step.
+PATH_STEPS = 48
+BROADCAST_BYTES = 64 << 20
 
 
 def read_page(page: str) -> tuple[dict[str, int], list[tuple[str, str, bool]]]:
@@ -76,7 +88,14 @@ def read_page(page: str) -> tuple[dict[str, int], list[tuple[str, str, bool]]]:
                 counts[token] = counts.get(token, 0) + 1
         elif not closing:
             words = re.findall(r"[a-z0-9]+", " ".join(max(g) for g in NAMES.findall(rest)).lower())
-            path.append("/".join(filter(None, (path[-1] if path else "", ".".join([name, *words])))))
+            step = ".".join([name, *words])
+            if len(path) < PATH_STEPS:
+                outer = path[-1] if path else ""
+            else:
+                # Boilerplate among the steps left out is not forgotten.
+                outer = path[-1] if len(path) == PATH_STEPS or is_boilerplate(path[-1]) else path[PATH_STEPS - 1]
+                step = "" if outer.count("/") > PATH_STEPS else step
+            path.append("/".join(filter(None, (outer, step))))
             names.append(name)
             slot, links = path[-1], 0
             counts[slot] = counts.get(slot, 0) + 1
@@ -89,8 +108,8 @@ def read_page(page: str) -> tuple[dict[str, int], list[tuple[str, str, bool]]]:
     return counts, runs
 
 
-def is_boilerplate(slot: str) -> bool:
-    inside = False
+def is_boilerplate(slot: str, inside: bool = False) -> bool:
+    """Whether a step of the path names boilerplate; a header does unless it is ``inside`` the article."""
     for step in slot.split("/"):
         name, *words = step.split(".")
         if name in BOILERPLATE or BOILERPLATE_WORDS.intersection(words) or name == "header" and not inside:
@@ -99,6 +118,10 @@ def is_boilerplate(slot: str) -> bool:
     return False
 
 
+def named_and_headed(slot: str) -> tuple[bool, bool]:
+    return is_boilerplate(slot), is_boilerplate(slot, inside=slot.count("/") > 2)
+
+
 def in_article(slot: str) -> bool:
     return any(step.split(".")[0] in ("article", "main") for step in slot.split("/"))
 
@@ -109,10 +132,12 @@ def with_host(pages: DataFrame, url_col: str) -> DataFrame:
 
 
 def occurrences(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
-    """``(host, token, slot, pages, once, vector, low, high, words, link_words)``: what all pages of
-    a host say about a token, by sums that tasks form before the shuffle."""
+    """``(host, token, pages, once, vector, low, high, words, link_words, named, headed)``: what all pages of
+    a host say about a token, by sums that tasks form before the shuffle. ``named`` says that its path names
+    boilerplate, ``headed`` that it does so even where headers are part of the article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = lru_cache(100_000)(named_and_headed)
         for part in chunks(batches, "html"):
             rows: list[tuple] = []
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
@@ -129,63 +154,120 @@ def occurrences(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
                     vector = xxhash.xxh3_64_intdigest(f"{name} {n}".encode()) - (1 << 63)
                     content, words, linked = text.get(token, ("", 0, 0))
                     rows.append((host, token, n == 1, vector, xxhash.xxh3_64_intdigest(
-                        " ".join(content.split()).encode("utf-8", "surrogatepass")) - (1 << 63), words, linked))
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows)) if rows else [[]] * 7
+                        " ".join(content.split()).encode("utf-8", "surrogatepass")) - (1 << 63), words, linked,
+                        *names(token.partition(">")[0])))
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+                     pa.bool_(), pa.bool_()]
+            columns = list(zip(*rows)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[
-                "host", "token", "once", "vector", "content", "words", "link_words"])
+                "host", "token", "once", "vector", "content", "words", "link_words", "named", "headed"])
 
     source = with_host(pages, url_col).select(F.col("_host").alias("host"),
                                               F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = source.mapInArrow(run, "host string, token string, once boolean, vector long, content long, "
-                             "words long, link_words long")
+                             "words long, link_words long, named boolean, headed boolean")
     # Wrapping sums would fail in ANSI mode, so the vector's hash is an exclusive or.
     return rows.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.min("once").alias("once"), F.bit_xor("vector").alias("vector"),
         F.min("content").alias("low"), F.max("content").alias("high"),
-        F.sum("words").alias("words"), F.sum("link_words").alias("link_words"))
+        F.sum("words").alias("words"), F.sum("link_words").alias("link_words"),
+        F.bool_or("named").alias("named"), F.bool_or("headed").alias("headed"))
 
 
-def templates(found: DataFrame, pages: DataFrame, url_col: str) -> DataFrame:
-    """``(host, has_article, template_text)`` per host: whether its template has an article, and the slots
-    whose text is the template's own."""
+def _around(path: Column, steps: Column) -> Column:
+    """The first steps of a path."""
+    return F.array_join(F.slice(F.split(path, "/"), 1, steps), "/")
+
+
+def supported(found: DataFrame, pages: DataFrame, url_col: str) -> DataFrame:
+    """The tokens with ``support``, the share of the host's pages that have one, and its path and ``depth``."""
     sizes = with_host(pages, url_col).groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("host_pages"))
-    tokens = found.join(sizes, "host").withColumn("support", F.col("pages") / F.col("host_pages"))
-    # An equivalence class: one host, one vector (equal pages cancel in the hash, not in the count). Frequent ones make up the template.
-    classes = (tokens.where(F.col("support") >= SMALLEST_SUPPORT).groupBy("host", "vector", "pages")
-               .agg(F.count("*").alias("class_size"), F.min("once").alias("once"), F.min("support").alias("class_support")))
-    member = tokens.join(classes.select("host", "vector", "pages", "class_size"), ["host", "vector", "pages"], "left")
-    slot = ~F.col("token").contains(">")
-    root = classes.where(F.col("once")).groupBy("host").agg(F.max("class_size").alias("root_size"))
-    article = F.col("token").rlike(r"(^|/)(article|main)(\.[^/]*)?$")
-    # Text of a slot: constant on pages that share a template, though the template has other, changing slots.
-    constant = ((F.col("pages") >= CONSTANT_PAGES) & (F.col("low") == F.col("high")) & (F.col("words") > 0)
-                & F.col("class_size").isNotNull())
-    linked = (F.col("words") > 0) & (F.col("link_words") > LINK_SHARE * F.col("words"))
-    return (member.join(root, "host", "left").groupBy("host").agg(
-        F.max(article & F.col("class_size").isNotNull()).alias("has_article"),
-        F.coalesce(F.max(slot & ~constant & (F.col("words") > 0)), F.lit(False)).alias("varies"),
-        F.collect_set(F.when(slot & F.coalesce(F.col("support") >= SMALLEST_SUPPORT, F.lit(False))
-                             & (constant | linked), F.col("token"))).alias("fixed"))
-            .select("host", "has_article", F.when(F.col("varies"), F.col("fixed"))
-                    .otherwise(F.array().cast("array<string>")).alias("template_text")))
+    path = F.substring_index("token", ">", 1)
+    return (found.join(sizes, "host").withColumn("support", F.col("pages") / F.col("host_pages"))
+            .withColumn("path", path).withColumn("depth", F.size(F.split(path, "/"))))
+
+
+def classes(tokens: DataFrame) -> DataFrame:
+    """``(host, vector, pages, size, support, valid, slot)``, one row per equivalence class: tokens of one host
+    with one occurrence vector (equal pages cancel in the hash, not in the count of pages). ``slot`` is the
+    container the class nests in, empty for an outermost one."""
+    # The first and last path in the order of their steps differ wherever any two of them do.
+    steps = F.split("path", "/")
+    found = tokens.groupBy("host", "vector", "pages").agg(
+        F.count("*").alias("size"), F.min("support").alias("support"),
+        (F.min("once") & (F.min("support") >= SMALLEST_SUPPORT)).alias("valid"),
+        F.min(steps).alias("first"), F.max(steps).alias("last"),
+        F.min(F.when(~F.col("token").contains(">"), F.col("depth"))).alias("outermost"))
+    same = F.transform(F.col("first"), lambda x, i: (x == F.get("last", i)) & (i < F.size("last")))
+    shared = F.coalesce(F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), False)
+                        .cast("int"), F.lit(0))
+    shared = F.when(shared == 0, F.size("first")).otherwise(shared - 1)
+    # A container around all tokens may be one of the class: then the class nests in the one around it.
+    inner = F.when(F.col("outermost") <= shared, F.col("outermost") - 1).otherwise(shared)
+    return found.select("host", "vector", "pages", "size", "support", "valid",
+                        F.array_join(F.slice("first", 1, inner), "/").alias("slot"))
+
+
+def templates(found: DataFrame, pages: DataFrame, url_col: str) -> DataFrame:
+    """``(host, region, template_text, dull)`` per host: the data region (null if no container holds the
+    greater part of the text), the slots whose text is the template's own, and those of links."""
+    tokens = supported(found, pages, url_col).checkpoint()
+    valid = classes(tokens).where("valid").select("host", "vector", "pages")
+    slots = tokens.where(~F.col("token").contains(">") & (F.col("words") > 0))
+    constant = (F.col("pages") >= CONSTANT_PAGES) & (F.col("low") == F.col("high"))
+    linked = F.col("link_words") > LINK_SHARE * F.col("words")
+    slots = slots.withColumn("constant", constant).withColumn("linked", linked)
+    # Where nothing changes (copies of one page), nothing tells template and data apart.
+    changing = slots.where(~F.col("constant")).select("host").distinct().withColumn("varies", F.lit(True))
+    slots = slots.join(changing, "host", "left").withColumn(
+        "constant", F.col("constant") & F.coalesce("varies", F.lit(False)))
+
+    data = slots.where(~F.col("constant") & ~F.col("linked"))
+    plain = data.where(~F.col("named")).select("host", "path", "depth", "words")
+    mass = (plain.select("host", "words", F.explode(F.transform(
+                F.sequence(F.lit(1), F.col("depth")), lambda n: _around(F.col("path"), n))).alias("path"))
+            .groupBy("host", "path").agg(F.sum("words").alias("mass")))
+    total = plain.groupBy("host").agg(F.sum("words").alias("total"))
+    # Containers of valid classes that hold the greater part: at most one per depth, each within the one before.
+    holding = (tokens.where(~F.col("token").contains(">")).join(valid, ["host", "vector", "pages"])
+               .join(mass, ["host", "path"]).join(total, "host")
+               .where(F.col("mass") > REGION_SHARE * F.col("total")))
+    chain = holding.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("depth"))).where(
+        F.col("place") == F.col("depth")).select(
+            "host", "path", "depth", F.col("path").rlike(r"(^|/)(article|main)(\.[^/]*)?$").alias("telling"),
+            (F.col("mass") > NAMELESS_SHARE * F.col("total")).alias("most"))
+    # The slot of a heading is one that changes; a header is part of an article, not of the page's own frame.
+    heads = (tokens.where(F.col("token").endswith(">h1") & F.col("once") & ~F.col("headed")
+                          & (F.col("support") >= SMALLEST_SUPPORT)).select("host", "path")
+             .join(data.select("host", "path"), ["host", "path"], "left_semi").withColumnRenamed("path", "head"))
+    holds = F.col("head").isNotNull() & F.startswith(F.concat("head", F.lit("/")), F.concat("path", F.lit("/")))
+    region = (chain.join(heads, "host", "left").groupBy("host", "path", "depth", "telling", "most")
+              .agg(F.coalesce(F.bool_or(holds), F.lit(False)).alias("headed"))
+              .groupBy("host").agg(F.max_by("path", F.struct("telling", "most", "headed", "depth")).alias("region")))
+    # Slots that half of the pages have: at most twice as many as a page has on average.
+    texts = (slots.where(F.col("support") >= SMALLEST_SUPPORT).groupBy("host").agg(
+        F.collect_set(F.when(F.col("constant"), F.col("path"))).alias("template_text"),
+        F.collect_set(F.when(F.col("linked"), F.col("path"))).alias("dull")))
+    return texts.join(region, "host", "left").select("host", "region", "template_text", "dull")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             broadcast_hosts: int = 100_000) -> DataFrame:
     """``(id, url, text, n_chars)``, one row per row of ``pages``.
 
-    The article's blocks in page order, white space runs as one space, blocks joined by one space,
+    The data region's blocks (of a page without it: the named article's, otherwise all that are neither the
+    template's text nor links) in page order, white space runs as one space, blocks joined by one space,
     character references decoded. Null or empty html gives an empty text. Pages without a host share
     one group. Repeated and null ids stay rows of their own; other columns are not read.
     """
     template = templates(occurrences(pages, html_col, url_col), pages, url_col).checkpoint()
-    # One row per host. Up to a counted number they are broadcast; beyond it the pages are shuffled by host
+    # One row per host. Up to a counted number and size they are broadcast; beyond it the pages are shuffled by host
     # and salted, so that a large host is spread over 64 tasks.
     source = with_host(pages, url_col).select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), "_host",
         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    if template.count() <= broadcast_hosts:
+    size = template.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    if size["n"] <= broadcast_hosts and (size["b"] or 0) <= BROADCAST_BYTES:
         joined = source.join(F.broadcast(template), source["_host"] == template["host"], "left")
     else:
         salted = source.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(64)).cast("int"))
@@ -193,28 +275,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         joined = salted.join(spread, (salted["_host"] == spread["host"]) & (salted["salt"] == spread["salt"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known = lru_cache(100_000)(is_boilerplate)
         for part in chunks(batches, "html"):
             texts = []
-            for page, has_article, fixed in zip(part.column("html").to_pylist(), part.column("has_article").to_pylist(),
-                                                part.column("template_text").to_pylist()):
+            for page, region, fixed, dull in zip(*(part.column(c).to_pylist() for c in (
+                    "html", "region", "template_text", "dull"))):
                 _, runs = read_page(page)
-                focus = has_article and any(in_article(slot) for slot, _, _ in runs)
-                own: list[str] = []
-                for slot, text, _ in runs:
-                    if slot not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[slot] = is_boilerplate(slot)
-                    if known[slot] or (not in_article(slot) if focus else slot in (fixed or ())):
-                        own.append(" ")
-                    else:
-                        own.append(text)
+                fixed = frozenset(fixed or ())
+                within = f"{region}/"
+                if region and any(f"{slot}/".startswith(within) and text.strip() for slot, text, _ in runs):
+                    article = region.count("/") > 1
+                    out = {slot for slot, _, _ in runs if not f"{slot}/".startswith(within)
+                           or slot in fixed or known(slot, article and not known(region, True))}
+                else:
+                    named = any(in_article(slot) for slot, _, _ in runs)
+                    out = {slot for slot, _, _ in runs if known(slot)
+                           or (not in_article(slot) if named else slot in fixed or slot in (dull or ()))}
+                own = [" " if slot in out else text for slot, text, _ in runs]
                 texts.append(" ".join("".join(own).split()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("id"), part.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return (joined.select("id", "url", "html", "has_article", "template_text")
+    return (joined.select("id", "url", "html", "region", "template_text", "dull")
             .mapInArrow(run, f"{id_col} {kind}, url string, text string, n_chars long"))

@@ -471,3 +471,64 @@ def test_page_text(spark):
             if text is not None:
                 assert got[i].text == text
     assert page_text.extract(table.limit(0)).count() == 0
+
+
+def neutral_host(host, n, optional=()):
+    """Pages without telling names: a frame of equal text, links that change, an article of two blocks, an aside on some."""
+    rows = []
+    for i in range(n):
+        links = "".join(f"<li><a href=/{i}{k}>go {i} {k}</a></li>" for k in range(9))
+        aside = "<div class=k7><div class=k8>always this</div></div>" if i in optional else ""
+        rows.append((f"http://{host}/{i}", f"<html><body><div class=k1><h1>Site of all</h1>We sell lamps</div><ul class=k2>{links}</ul>"
+                     f"<div class=k3><div class=k4><h1>Title {i}</h1>by writer {i * 7}</div><div class=k5><p>Body {i} "
+                     f"<i>goes</i> on {'and on ' * (i + 9)}</p>{aside}<p>End {i}</p></div></div><div class=k6>All rights</div>",
+                     f"Title {i} by writer {i * 7} Body {i} goes on {'and on ' * (i + 9)}End {i}"))
+    return rows
+
+
+def test_page_text_by_classes_alone(spark):
+    rows = neutral_host("n.example", 12, {1, 4, 5, 7, 8, 9, 11}) + neutral_host("m.example", 4)
+    rows += [(url, page, text) for url, page, text in rows[:3]]
+    table = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(rows)],
+                                  "page_id long, url string, html string")
+    template = {r.host: r for r in page_text.templates(page_text.occurrences(table, "html", "url"), table, "url").collect()}
+    assert {r.region for r in template.values()} == {"html/body/div.k3"}
+    assert set(template["n.example"].template_text) == {"html/body/div.k1", "html/body/div.k6",
+                                                       "html/body/div.k3/div.k5/div.k7/div.k8"}
+    assert template["n.example"].dull == ["html/body/ul.k2"]
+    for hosts in (100_000, 0):
+        got = {r.page_id: r.text for r in page_text.extract(table, broadcast_hosts=hosts).collect()}
+        assert got == {i: text for i, (*_, text) in enumerate(rows)}
+
+
+def test_equivalence_classes(spark):
+    rows = neutral_host("n.example", 9, {1, 4, 5, 7, 8}) + neutral_host("m.example", 4, {0})
+    table = spark.createDataFrame([(i, url, page) for i, (url, page, _) in enumerate(rows)],
+                                  "page_id long, url string, html string")
+    tokens = page_text.supported(page_text.occurrences(table, "html", "url"), table, "url")
+    found = page_text.classes(tokens)
+    got = {}
+    for r in tokens.join(found.drop("support"), ["host", "vector", "pages"]).collect():
+        got.setdefault((r.host, r.vector, r.pages, r.size, r.valid, r.slot), set()).add(r.token)
+    want = {}
+    for host, n in (("n.example", 9), ("m.example", 4)):
+        counts = [page_text.read_page(page)[0] for url, page, _ in rows if host in url]
+        for token in set().union(*counts):
+            want.setdefault((host, tuple(c.get(token, 0) for c in counts)), set()).add(token)
+    assert sorted((k[0], sorted(v)) for k, v in got.items()) == sorted((k[0], sorted(v)) for k, v in want.items())
+    for (host, vector), members in want.items():
+        key = next(k for k, v in got.items() if k[0] == host and v == members)
+        seen = [n for n in vector if n]
+        assert key[2:5] == (len(seen), len(members), max(seen) == 1 and 2 * len(seen) >= len(vector))
+        paths = [t.partition(">")[0].split("/") for t in members]
+        around = [p for p in range(len(paths[0]) + 1) if all(q[:p] == paths[0][:p] for q in paths)
+                  and "/".join(paths[0][:p]) not in members]
+        assert key[5] == "/".join(paths[0][:max(around)])
+    optional = [k for k, v in got.items() if "html/body/div.k3/div.k5/div.k7" in v]
+    assert {k[5] for k in optional} == {"html/body/div.k3/div.k5"} and sorted(k[4] for k in optional) == [False, True]
+
+
+def test_pages_nested_very_deep(spark):
+    page = "<article>" + "<div class=x>" * 30_000 + "inner text" + "<div class=ad>buy <div>now</div></div>" + "</div>" * 30_000 + " end"
+    table = spark.createDataFrame([(1, "http://d.example/1", page)], "page_id long, url string, html string")
+    assert page_text.extract(table).first().text == "inner text end"
