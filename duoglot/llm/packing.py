@@ -2,9 +2,8 @@
 
 Texts are tokenised in one pass; only pieces' lengths and checksums travel on. How many
 pieces there are of each length is a table of at most ``capacity`` rows. Bin completion with
-branch and bound works on that table: around the longest piece left it enumerates
-the fillings that no other filling dominates, and repeats the chosen one as often as
-the counts allow. The plan is a bounded list of patterns; pieces find their sequence by their rank
+branch and bound works on that table: best fit gives an incumbent, whose most wasteful sequences are taken apart and
+completed anew, around the longest piece left, by fillings that no other filling dominates. The plan is a bounded list of patterns; pieces find their sequence by their rank
 among the pieces of equal length, in a broadcast join with the plan's slots.
 """
 
@@ -13,7 +12,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,43 +127,90 @@ class Pattern:
     times: int
 
 
-def fillings(counts: np.ndarray, room: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` with up to three pieces, least waste first.
-
-    A filling is dominated if one with fewer, longer pieces wastes no more: so of single
-    pieces only the longest counts, and pairs and triples only if they waste less.
+class Steps:
+    """How many steps a search may still take."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def dominated(lengths: tuple[int, ...], room: int, others: list[int]) -> bool:
+    """Whether one of ``others`` (lengths of pieces left out) could stand for some of the pieces of a filling, or
+    just be added: it is at least as long as they are together, and longer by no more than the ``room`` left.
+    What it replaced would fit wherever it was, so the filling need not be looked at."""
+    sums: dict[int, int] = {}
+    for x in others:
+        own = x if x in lengths else 0
+        if own not in sums:
+            # Bit n: some pieces of other lengths than x are n long together.
+            reached = 1
+            for n in lengths:
+                if n != own:
+                    reached |= reached << n
+            sums[own] = reached
+        least = max(0, x - room)
+        if (sums[own] >> least) & ((1 << (x - least + 1)) - 1):
+            return True
+    return False
+
+
+def fillings(counts: Mapping[int, int], room: int, slack: int, steps: Steps) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill ``room`` with pieces of ``counts`` (length → number) that leave no more than
+    ``slack``, long pieces first. Ends early only when ``steps`` are used up."""
+    there = sorted((n for n, k in counts.items() if n <= room and k), reverse=True)
+    rest = [0] * (len(there) + 1)
+    for at in range(len(there) - 1, -1, -1):
+        rest[at] = rest[at + 1] + there[at] * counts[there[at]]
+
+    def extend(at: int, room: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        while at < len(there) and there[at] > room:
+            at += 1
+        if at == len(there):
+            if room <= slack:
+                used = Counter(chosen)
+                if not dominated(chosen, room, [n for n in there if counts[n] > used[n]]):
+                    yield chosen
+            return
+        for first in range(at, len(there)):
+            if room - rest[first] > slack or not steps.take():
+                return
+            n = there[first]
+            for k in range(min(counts[n], room // n), 0, -1):
+                yield from extend(first + 1, room - k * n, chosen + (n,) * k)
+
+    return extend(0, room, ())
+
+
+def complete_bins(counts: Mapping[int, int], bins: int, capacity: int,
+                  steps: Steps) -> list[tuple[int, ...]] | None:
+    """``counts`` packed into ``bins`` sequences, or None if that cannot be or was not found within ``steps``.
+
+    Sequence by sequence around the longest piece left, depth first over its undominated fillings; a branch ends
+    when the waste so far exceeds what ``bins`` sequences can waste in all.
     """
-    there = np.flatnonzero(counts[:room + 1])[::-1]
-    there = there[there > 0]
-    if not len(there):
-        return [()]
-    found = [((int(there[0]),), room - int(there[0]))]
-    # best[r]: the longest piece that fits into r.
-    best = np.maximum.accumulate(np.where(counts[:room + 1] > 0, np.arange(room + 1), 0))
-
-    def offer(lengths: tuple[int, ...]) -> None:
-        need = np.bincount(lengths, minlength=room + 1)
-        if (need <= counts[:room + 1]).all():
-            found.append((lengths, room - sum(lengths)))
-
-    if found[0][1]:
-        second = best[room - there]
-        waste = np.where((second > 0) & (second <= there), room - there - second, room)
-        for at in np.argsort(waste, kind="stable")[:width]:
-            if waste[at] < found[0][1]:
-                offer((int(there[at]), int(second[at])))
-        least = min(w for _, w in found)
-        if least:
-            for first in there[:: max(1, len(there) // 64)]:
-                left = room - int(first)
-                second = there[there <= min(first, left)]
-                third = best[left - second]
-                waste = np.where((third > 0) & (third <= second), left - second - third, room)
-                if len(waste) and waste.min() < least:
-                    at = int(waste.argmin())
-                    offer((int(first), int(second[at]), int(third[at])))
-    found.sort(key=lambda x: (x[1], len(x[0])))
-    return [lengths for lengths, _ in found[:width]]
+    def pack_rest(left: Counter, slack: int) -> list[tuple[int, ...]] | None:
+        if not left:
+            return []
+        longest = max(left)
+        others = left - Counter([longest])
+        for filling in fillings(others, capacity - longest, slack, steps):
+            found = pack_rest(others - Counter(filling), slack - (capacity - longest - sum(filling)))
+            if found is not None:
+                return [(longest, *filling), *found]
+            if steps.left <= 0:
+                break
+        return None
+
+    slack = bins * capacity - sum(n * k for n, k in counts.items())
+    if slack < 0 or bins < 1 and counts:
+        return None
+    found = pack_rest(Counter(counts), slack)
+    # Sequences not needed stay away; more than ``bins`` would waste more than the slack.
+    return found if found is not None and len(found) <= bins else None
 
 
 def fill_up(counts: np.ndarray, lengths: tuple[int, ...], room: int) -> tuple[int, ...]:
@@ -200,42 +247,85 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return out
 
 
-def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 1_500,
-                   width: int = 3) -> list[Pattern]:
+def wasteful_part(packed: Counter, capacity: int, width: int, in_turn: bool) -> Counter:
+    """Sequences to take apart, those that waste most first: at least ``width`` and as many as waste one sequence's
+    worth together. ``in_turn``, one of each of ``width`` patterns (more if they don't suffice) after the other,
+    so that unlike sequences come together; otherwise pattern by pattern."""
+    patterns = sorted(packed, key=lambda x: (sum(x), -len(x), x))
+    taken, waste, n = Counter(), 0, 0
+    while waste < capacity or n < width:
+        offered = [x for x in patterns[:width if in_turn else None] if taken[x] < packed[x]]
+        if not offered:
+            if not in_turn or width >= len(patterns):
+                break
+            width *= 2
+            continue
+        for lengths in offered:
+            own = capacity - sum(lengths)
+            k = 1
+            if not in_turn:
+                k = min(packed[lengths], max(width - n, -(-max(0, capacity - waste) // own) if own else 0))
+            taken[lengths] += k
+            waste += k * own
+            n += k
+            if waste >= capacity and n >= width:
+                break
+        if not in_turn:
+            break
+    return +taken if waste >= capacity else Counter()
+
+
+def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 1_000_000,
+                   most_bins: int = 400) -> list[Pattern]:
     """Patterns that use up ``counts`` (pieces by length), in as few sequences as found.
 
-    Depth-first over the fillings of the longest piece left; a branch ends when its waste
-    shows that it cannot beat the incumbent. Ends at the lower bound or after ``nodes`` steps.
+    The incumbent is the best-fit packing. While it needs more sequences than the lower bound, sequences that
+    waste much are taken apart, and branch and bound looks for a packing of their pieces that needs one less;
+    a found one is used as often as its patterns repeat, those that repeat most first. After a failure twice as many are taken. Ends at the lower
+    bound, or when no such part (of up to ``most_bins`` sequences) is improved, each within 40th of the
+    ``nodes`` steps in all; the incumbent is a whole packing at any time.
     """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     bound = max(-(-total // capacity), int(counts[capacity // 2 + 1:].sum()))
-    incumbent = best_fit_decreasing(counts, capacity)
-    fewest = sum(p.times for p in incumbent)
-    stack: list[tuple[np.ndarray, list[Pattern], int, int]] = [(counts, [], 0, 0)]
-    while stack and nodes and fewest > bound:
-        nodes -= 1
-        left, chosen, used, waste = stack.pop()
-        if not left.any():
-            if used < fewest:
-                incumbent, fewest = chosen, used
-            continue
-        if waste > (fewest - 1) * capacity - total:
+    packed: Counter = Counter()
+    for pattern in best_fit_decreasing(counts, capacity):
+        packed[pattern.lengths] += pattern.times
+    left, width, in_turn, seen = nodes, 4, True, set()
+    # Patterns that repeat often are improved together first: ``level`` copies count as one.
+    level = 16 ** int(np.log2(max(packed.values(), default=1)) // 4)
+    while packed.total() > bound and left > 0:
+        if width > most_bins:
+            if level == 1:
+                break
+            level, width, in_turn = level // 16, 4, True
+        often = Counter({lengths: n // level for lengths, n in packed.items() if n >= level})
+        taken = wasteful_part(often, capacity, width, in_turn)
+        better = None
+        part = tuple(sorted(taken.items()))
+        if taken and taken.total() <= most_bins and part not in seen:
+            seen.add(part)
+            pieces: Counter = Counter()
+            for lengths, n in taken.items():
+                for length in lengths:
+                    pieces[length] += n
+            steps = Steps(min(left, -(-nodes // 40)))
+            left -= steps.left
+            better = complete_bins(pieces, taken.total() - 1, capacity, steps)
+            left += max(0, steps.left)
+        if better is None:
+            width, in_turn = (width, False) if in_turn else (2 * width, True)
             continue
-        longest = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[longest] -= 1
-        for lengths in reversed(fillings(rest, capacity - longest, width)):
-            lengths = fill_up(left, (longest, *lengths), capacity)
-            n = times(left, lengths)
-            after = left.copy()
-            np.subtract.at(after, list(lengths), n)
-            stack.append((after, [*chosen, Pattern(lengths, n)], used + n,
-                          waste + n * (capacity - sum(lengths))))
-    return incumbent
-
-
-def pack(pieces: DataFrame, capacity: int, nodes: int = 1_500) -> DataFrame:
+        repeat = min(packed[lengths] // n for lengths, n in taken.items())
+        for lengths, n in taken.items():
+            packed[lengths] -= n * repeat
+        for lengths in better:
+            packed[tuple(sorted(lengths, reverse=True))] += repeat
+        packed, width, in_turn = +packed, 4, True
+    return [Pattern(lengths, n) for lengths, n in sorted(packed.items(), reverse=True)]
+
+
+def pack(pieces: DataFrame, capacity: int, nodes: int = 1_000_000) -> DataFrame:
     """``pieces`` (any rows with a ``length`` from 1 to ``capacity``) with ``sequence_id``
     and ``offset``: sequences have no gaps and no overlaps.
 
