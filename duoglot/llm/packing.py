@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,12 @@ class Remembered(dict):
         return ids
 
 
+@lru_cache(1)
+def remembered(path: str) -> Remembered:
+    """One for all tasks of a Python worker: the vocabulary is loaded once."""
+    return Remembered(WordEncoder(path))
+
+
 def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: token ids of each text and then ``end_id``,
@@ -104,7 +111,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(WordEncoder(path))
+        known = remembered(path)
         for part in chunks(batches, "text"):
             texts = [words(text) for text in part.column("text").to_pylist()]
             rows: list[tuple] = []
