@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duoglot.functions.text import tokens
 from duoglot.functions.vectors import round_score
@@ -25,22 +25,40 @@ BROADCAST_TERM_ROWS = 1_000_000
 # A query table of up to this many terms pushes them to the postings scan; with more,
 # hardly a part of a file is without any of them.
 PUSHED_TERMS = 200
+# Pairs of query and document range in one batch of queries (about 50 bytes each).
+RANGE_PAIRS = 1_000_000
+# Documents that the best ranges should hold, per wanted hit, to find a first threshold.
+PROBE_DOCS = 2
+# Up to this many ranges are pushed to the postings scan.
+PUSHED_RANGES = 1_000
 
 
-def postings(docs: DataFrame, fields: Sequence[str] = ("multilingual_concat",)) -> DataFrame:
+def postings(docs: DataFrame, fields: Sequence[str] = ("multilingual_concat",),
+             keep: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, field, term, tf, dl)``: occurrences of a term in a field and the field's
-    token count. ``doc_id`` must be unique.
+    token count, and the columns ``keep`` of the document. ``doc_id`` must be unique.
 
     Every row of a document comes from one input row, so the aggregation is complete
     before the shuffle; over a table bucketed by ``doc_id`` there is no shuffle at all.
     """
     per_field = F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), tokens(f).alias("words")) for f in fields]))
-    words = docs.select("doc_id", per_field.alias("t")).select(
-        "doc_id", "t.field", F.size("t.words").alias("dl"), F.explode("t.words").alias("term"))
-    return (words.groupBy("doc_id", "field", "term", "dl")
+    words = docs.select("doc_id", *keep, per_field.alias("t")).select(
+        "doc_id", *keep, "t.field", F.size("t.words").alias("dl"), F.explode("t.words").alias("term"))
+    return (words.groupBy("doc_id", *keep, "field", "term", "dl")
             .agg(F.count(F.lit(1)).alias("tf"))
-            .select("doc_id", "field", "term", "tf", "dl"))
+            .select("doc_id", "field", "term", "tf", "dl", *keep))
+
+
+def impact_ranges(posted: DataFrame) -> DataFrame:
+    """``(field, term, doc_range, max_tf, min_dl, n)`` of postings with a ``doc_range``.
+
+    BM25 rises with the occurrences of a term and falls with the length of the text, so the two
+    extremes bound what the term can add to any document of the range, whatever weights and mean
+    length a later search has. Rows that are replaced later only leave a bound higher than needed.
+    """
+    return posted.groupBy("field", "term", "doc_range").agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.count(F.lit(1)).alias("n"))
 
 
 def term_statistics(posted: DataFrame) -> DataFrame:
@@ -86,8 +104,8 @@ def weigh_terms(terms: DataFrame, term_stats: DataFrame,
                     per_field(lambda f: totals[f][1] / totals[f][0]).alias("avgdl")))
 
 
-def _impact():
-    tf, dl = F.col("tf"), F.col("dl")
+def _impact(tf: str = "tf", dl: str = "dl") -> Column:
+    tf, dl = F.col(tf), F.col(dl)
     return (F.col("weight") * tf * (K1 + 1)
             / (tf + K1 * (1 - B + B * dl / F.col("avgdl"))))
 
@@ -175,3 +193,78 @@ def bm25_topk_pruned(posted: DataFrame, weighted: DataFrame, limit: int,
               .agg(round_score(F.max("part") + F.coalesce(F.sum("impact"), F.lit(0.0)))
                    .alias("bm25_score")))
     return _best(scores, limit, limits)
+
+
+def range_bounds(impacts: DataFrame, weighted: DataFrame) -> DataFrame:
+    """``(query_id, doc_range, bound, n)``: no document of the range scores more than ``bound``; at
+    least ``n`` of its documents, as they were indexed, have a term of the query."""
+    return (impacts.join(weighted, ["field", "term"]).groupBy("query_id", "doc_range")
+            .agg(F.sum(_impact("max_tf", "min_dl")).alias("bound"), F.max("n").alias("n")))
+
+
+def _scores_within(posted: DataFrame, weighted: DataFrame, pairs: DataFrame, n_pairs: int, pair_rows: int,
+                   one_of: Callable[[str, Sequence], Column] | None) -> DataFrame:
+    """Scores of the documents in some ranges per query; the scan skips other ranges if those are few."""
+    if one_of is not None:
+        ranges = pairs.select("doc_range").distinct().limit(PUSHED_RANGES + 1).collect()
+        if len(ranges) <= PUSHED_RANGES:
+            posted = posted.where(one_of("doc_range", sorted(r["doc_range"] for r in ranges)))
+    pairs = pairs.select("query_id", "doc_range")
+    if n_pairs <= pair_rows:
+        pairs = F.broadcast(pairs)
+    return (posted.join(weighted, ["field", "term"]).join(pairs, ["query_id", "doc_range"], "left_semi")
+            .groupBy("query_id", "doc_id").agg(round_score(F.sum(_impact())).alias("bm25_score")))
+
+
+def _best_by_ranges(posted: DataFrame, impacts: DataFrame, weighted: DataFrame, limit: int,
+                    limits: DataFrame | None, pair_rows: int,
+                    one_of: Callable[[str, Sequence], Column] | None) -> DataFrame:
+    bounds = range_bounds(impacts, weighted).checkpoint()
+    # A range in this table has a document with a term, so ``limit`` ranges are enough to begin with.
+    first = top_per_group(bounds, ["query_id"], [F.desc("bound"), F.col("doc_range")], limit, "place", "doc_range")
+    before = Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    probe = (first.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+             .where(F.col("before") < PROBE_DOCS * limit).checkpoint())
+    wanted = F.lit(limit)
+    found = _best(_scores_within(posted, weighted, probe, probe.count(), pair_rows, one_of), limit, limits)
+    lists = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_found"), F.min("bm25_score").alias("low"))
+    if limits is not None:
+        lists, wanted = lists.join(limits, "query_id"), F.col("limit")
+    thresholds = lists.where(F.col("n_found") >= wanted).select("query_id", "low")
+    # Queries with shorter lists keep all their ranges.
+    kept = (bounds.join(thresholds, "query_id", "left")
+            .where(F.col("low").isNull() | (F.col("bound") + MARGIN >= F.col("low")))
+            .select("query_id", "doc_range").checkpoint())
+    return _best(_scores_within(posted, weighted, kept, kept.count(), pair_rows, one_of), limit, limits)
+
+
+def bm25_impact_ranges(posted: DataFrame, impacts: DataFrame, weighted: DataFrame, limit: int, n_ranges: int,
+                       limits: DataFrame | None = None, term_rows: int = BROADCAST_TERM_ROWS,
+                       pair_rows: int = RANGE_PAIRS,
+                       one_of: Callable[[str, Sequence], Column] | None = None) -> DataFrame:
+    """The result of :func:`bm25_topk`, with only those ranges of documents scored that can hold one
+    of the best (block-max pruning, Ding & Suel 2011), for any number of query terms.
+
+    ``impacts`` bounds the score of every range per query. The ranges of the highest bounds are
+    scored first; the score of the last wanted document there is a threshold, and ranges whose bound stays below it
+    are left out. Exact: no document of those can be among the best.
+
+    Queries are taken in batches of at most about ``term_rows`` query terms and ``pair_rows`` pairs of query and
+    range (``n_ranges`` is the number of ranges), which are broadcast, so the
+    postings keep their bucketing. A single query beyond that is joined by shuffle. ``one_of``
+    turns a column and few values into a condition that the scan can use.
+    """
+    cost = weighted.agg(F.count(F.lit(1)).alias("terms"), F.sum(F.least("df", F.lit(n_ranges))).alias("pairs")).first()
+    batches = max(1, -(-2 * cost["terms"] // term_rows), -(-2 * (cost["pairs"] or 0) // pair_rows))
+    if batches == 1:
+        return _best_by_ranges(posted, impacts, F.broadcast(weighted), limit, limits, pair_rows, one_of)
+    batch = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+    sizes = {r["batch"]: r["n"] for r in weighted.groupBy(batch.alias("batch")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    best = None
+    for number, n in sorted(sizes.items()):
+        some = weighted.where(batch == number)
+        some = F.broadcast(some) if n <= term_rows else some
+        part = _best_by_ranges(posted, impacts, some, limit, limits, pair_rows, one_of).checkpoint()
+        best = part if best is None else best.unionByName(part)
+    return best

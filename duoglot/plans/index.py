@@ -16,7 +16,7 @@ from duoglot.operators.corpus import FOLDED_SUFFIX
 from duoglot.operators.encode import (Encoder, encode, hash_vectors, named_texts, term_counts)
 from duoglot.operators.topk import best_row_per_key
 from duoglot.session import work_folder
-from duoglot.sources.index_tables import (DOCS_SCHEMA, Index, IndexSettings, open_or_declare)
+from duoglot.sources.index_tables import (DOCS_SCHEMA, RANGE_DOCS, Index, IndexSettings, open_or_declare)
 
 FUSED = "multilingual"
 # A bucket of more text than this is split in two by compaction.
@@ -112,8 +112,8 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
 
     # Terms in order let a scan for few terms skip most of a file. Sorting by one column
     # before the write is far cheaper than a table sorted by (partitions, bucket, term).
-    index.write_bucketed("postings", lexical.postings(docs, index.settings.fields)
-                         .sortWithinPartitions("term"), gen)
+    index.write_bucketed("postings", lexical.postings(index.ranged(docs, seq), index.settings.fields, ["doc_range"])
+                         .sortWithinPartitions("term", "doc_range"), gen)
     posted = index.of_generation("postings", gen)
 
     n_rows = docs.count()
@@ -140,11 +140,17 @@ def upsert_index(index: Index, corpus: DataFrame, order: Sequence[Column] | None
         index.write_bucketed("vectors", _vectors(docs, posted, index.settings, encoder, vector_store), gen)
         index.write_codes(gen)
 
+    def write_impacts() -> None:
+        if index.settings.range_docs:
+            # Terms in order, as in the postings.
+            index.write_small("impacts", lexical.impact_ranges(posted).sortWithinPartitions("term", "doc_range"), gen)
+
     # Independent of each other: their tasks share the cluster.
     with ThreadPoolExecutor() as jobs:
         for job in (jobs.submit(write_vectors),
                     jobs.submit(index.write_small, "term_stats", term_stats, gen),
-                    jobs.submit(index.write_small, "field_stats", field_stats, gen)):
+                    jobs.submit(index.write_small, "field_stats", field_stats, gen),
+                    jobs.submit(write_impacts)):
             job.result()
     return index.finish(seq, gen, batch, n_rows, n_replaced)
 
@@ -154,17 +160,18 @@ def build_index(spark: SparkSession, corpus: DataFrame, path: str,
                 vector_columns: Mapping[str, str] | None = None,
                 encoder: Encoder | None = None, buckets: int | None = None,
                 order: Sequence[Column] | None = None,
-                vector_store: str | None = None, codes: Codes | None = None) -> Index:
+                vector_store: str | None = None, codes: Codes | None = None,
+                range_docs: int = RANGE_DOCS) -> Index:
     """Create the index at ``path`` if there is none and add ``corpus`` to it.
 
     ``buckets`` should bring a bucket to a few hundred MB; it defaults to the session's
     shuffle partitions (with which the docs are written without an extra shuffle), and
     compaction adjusts it to the stored bytes. ``vector_columns`` (name → text column) adds
     a vector per language to the fused one. ``codes`` adds an inverted table of the vectors, for
-    searches with ``probes``.
+    searches with ``probes``; ``range_docs`` is how many documents share a bound per term (0: no bounds).
     """
     buckets = buckets or _shuffle_partitions(spark)
-    settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}), codes)
+    settings = IndexSettings(tuple(fields), buckets, dict(vector_columns or {}), codes, range_docs)
     return upsert_index(open_or_declare(spark, path, settings), corpus, order, encoder,
                         vector_store=vector_store)
 
@@ -185,7 +192,7 @@ def compact_index(index: Index, path: str, encoder: Encoder | None = None,
     return build_index(index.spark, index.docs(), path, index.settings.fields,
                        index.settings.vector_columns, encoder,
                        fitting_buckets(n_bytes, index.settings.buckets, bucket_bytes),
-                       codes=index.settings.codes)
+                       codes=index.settings.codes, range_docs=index.settings.range_docs)
 
 
 def index_summary(index: Index) -> DataFrame:

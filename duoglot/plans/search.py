@@ -14,7 +14,7 @@ from duoglot.operators.encode import Encoder, encode, hash_encode
 from duoglot.operators.knn import knn_topk
 from duoglot.plans.index import FUSED
 from duoglot.session import work_folder
-from duoglot.sources.index_tables import FETCH_IDS, Index
+from duoglot.sources.index_tables import FETCH_IDS, Index, one_of
 
 # Hits are broadcast to the docs scan up to this many rows (about 100 bytes each).
 BROADCAST_HITS = 500_000
@@ -33,7 +33,8 @@ class SearchOptions:
     approximate, with codes of all vectors formed in the search; ``probes`` does so with the codes that
     the index keeps: that many buckets of every table are read for a query, and documents met in
     at least ``shared_tables`` tables are compared; from ``prune_from`` postings to score on, the keyword leg leaves out
-    documents that cannot reach the top.
+    documents that cannot reach the top: by essential terms or, with ``impact_ranges`` and for more query
+    terms than can be broadcast at once, by the bounds of document ranges.
     """
 
     top_k: int = hybrid.DEFAULT_TOP_K
@@ -50,6 +51,7 @@ class SearchOptions:
     shared_tables: int = 1
     explain: bool = False
     prune_from: int = lexical.PRUNE_FROM
+    impact_ranges: bool = False
 
 
 def analyse_queries(queries: DataFrame, options: SearchOptions | None = None) -> DataFrame:
@@ -148,15 +150,19 @@ def _keyword_leg(index: Index, q: DataFrame, allowed: DataFrame | None,
         distinct = F.broadcast(distinct)
     weighted = lexical.weigh_terms(terms, index.term_stats(distinct), index.field_totals(),
                                    options.fields).checkpoint()
-    posted = index.postings()
+    posted, impacts = index.postings(), index.impacts() if index.settings.range_docs else None
     if allowed is not None:
         posted = posted.join(allowed, "doc_id", "left_semi")
     if n_terms <= lexical.PUSHED_TERMS:
         # Files are in the order of terms: the scan skips the parts without any of them.
         wanted = [r["term"] for r in weighted.select("term").distinct().collect()]
         posted = posted.where(F.col("term").isin(wanted))
+        impacts = impacts if impacts is None else impacts.where(F.col("term").isin(wanted))
     n_postings = weighted.agg(F.sum("df")).first()[0] or 0
-    if n_postings >= options.prune_from and n_rows <= lexical.BROADCAST_TERM_ROWS:
+    few = n_rows <= lexical.BROADCAST_TERM_ROWS
+    if impacts is not None and n_postings >= options.prune_from and (options.impact_ranges or not few):
+        return lexical.bm25_impact_ranges(posted, impacts, weighted, limit, index.n_ranges, limits, one_of=one_of)
+    if n_postings >= options.prune_from and few:
         return lexical.bm25_topk_pruned(posted, weighted, limit, limits)
     return lexical.bm25_topk(posted, weighted, limit, n_rows, limits=limits)
 

@@ -2,8 +2,9 @@
 
 * ``docs`` – one row per paragraph (payload and UUID key)
 * ``vectors`` – ``(doc_id, vector_name, embedding)``
-* ``postings`` – ``(doc_id, field, term, tf, dl)``
+* ``postings`` – ``(doc_id, field, term, tf, dl, doc_range)``
 * ``term_stats`` / ``field_stats`` – counts, as differences per generation
+* ``impacts`` – ``(field, term, doc_range, max_tf, min_dl, n)``, bounds of a term's scores per document range
 * ``codes`` – ``(bucket, doc_id)``, the inverted table of an approximate search, if there are codes
 * ``replaced`` – ``(doc_id, gen)`` rows that a later generation has replaced
 * ``manifest`` – one row per finished generation
@@ -39,7 +40,7 @@ VECTORS_SCHEMA = T.StructType([
 POSTINGS_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("term", T.StringType()),
     T.StructField("tf", T.LongType()), T.StructField("dl", T.IntegerType()),
-    T.StructField("field", T.StringType())])
+    T.StructField("doc_range", T.LongType()), T.StructField("field", T.StringType())])
 MANIFEST_SCHEMA = "seq int, gen string, batch string, n_rows bigint, n_replaced bigint, settings string"
 
 # Schema, partition columns, columns that a bucket is sorted by.
@@ -48,7 +49,8 @@ BUCKETED = {"docs": (DOCS_SCHEMA, ["gen"], ["doc_id"]),
             "postings": (POSTINGS_SCHEMA, ["gen", "field"], [])}
 SMALL = {"replaced": "doc_id string, dead_gen string",
          "term_stats": "field string, term string, df bigint",
-         "field_stats": "field string, n_docs bigint, sum_dl bigint"}
+         "field_stats": "field string, n_docs bigint, sum_dl bigint",
+         "impacts": "field string, term string, doc_range bigint, max_tf bigint, min_dl int, n bigint"}
 CODES = "doc_id string, bucket int, gen string, vector_name string"
 # Replaced rows are broadcast up to this many (about 60 bytes each).
 BROADCAST_REPLACED = 1_000_000
@@ -56,16 +58,22 @@ BROADCAST_REPLACED = 1_000_000
 FETCH_IDS = 1_000
 # Parquet gets lists of up to ten values as single values, which skip pages, longer ones as one range.
 IDS_PER_LIST = 10
+# Neighbouring documents of a bucket that share a bound per term.
+RANGE_DOCS = 1024
+# Numbers of ranges that a generation can use.
+RANGES_PER_GENERATION = 1 << 44
 
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """Fixed when the index is created. With ``codes`` an inverted table of the vectors is kept."""
+    """Fixed when the index is created. With ``codes`` an inverted table of the vectors is kept, with
+    ``range_docs`` (0 for none) the bounds of every term per that many documents."""
 
     fields: tuple[str, ...] = ("multilingual_concat",)
     buckets: int = 8
     vector_columns: dict[str, str] = field(default_factory=dict)
     codes: Codes | None = None
+    range_docs: int = RANGE_DOCS
 
 
 def one_of(column: str, values: Sequence[str]) -> Column:
@@ -161,6 +169,26 @@ class Index:
     def postings(self) -> DataFrame:
         return self._live(self._table("postings")).drop("gen")
 
+    def ranged(self, docs: DataFrame, seq: int) -> DataFrame:
+        """``docs`` of one generation with ``doc_range``. A task reads a bucket in the order of ids, so
+        a range holds neighbours; it never crosses a bucket or a generation."""
+        if not self.settings.range_docs:
+            return docs.withColumn("doc_range", F.lit(None).cast("bigint"))
+        number = F.expr(f"monotonically_increasing_id() DIV {self.settings.range_docs}")
+        return docs.withColumn("doc_range", F.lit(seq * RANGES_PER_GENERATION) + number)
+
+    @property
+    def n_ranges(self) -> int:
+        """No more ranges than this, as every bucket of a generation may end with a short one."""
+        rows = sum(g[3] for g in self.generations)
+        return rows // max(1, self.settings.range_docs) + self.settings.buckets * len(self._finished)
+
+    def impacts(self) -> DataFrame:
+        """Bounds per field, term and range; those of replaced rows stay in until compaction."""
+        if not self.settings.range_docs:
+            raise ValueError("the index has no document ranges")
+        return self._small("impacts").drop("gen")
+
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """``(field, term, df)``, for ``terms`` only if given."""
         stats = self._small("term_stats")
@@ -219,7 +247,8 @@ class Index:
         row = (seq, gen, batch, n_rows, n_replaced, json.dumps({
             "fields": list(self.settings.fields), "buckets": self.settings.buckets,
             "vector_columns": self.settings.vector_columns,
-            "codes": self.settings.codes and [self.settings.codes.tables, self.settings.codes.bits]}))
+            "codes": self.settings.codes and [self.settings.codes.tables, self.settings.codes.bits],
+            "range_docs": self.settings.range_docs}))
         (self.spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1)
          .write.mode("append").json(f"{self.path}/manifest"))
         return open_index(self.spark, self.path)
@@ -262,7 +291,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
                   key=lambda r: r["seq"])
     raw = json.loads(rows[-1]["settings"])
     codes = Codes(*raw["codes"]) if raw.get("codes") else None
-    settings = IndexSettings(tuple(raw["fields"]), raw["buckets"], raw["vector_columns"], codes)
+    settings = IndexSettings(tuple(raw["fields"]), raw["buckets"], raw["vector_columns"], codes,
+                             raw.get("range_docs", 0))
     _declare_tables(spark, path, settings)
     _find_partitions(spark, path)
     return Index(spark, path, settings, [

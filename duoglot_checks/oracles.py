@@ -384,10 +384,14 @@ l AS (SELECT vec_id, sqrt(sum(y * y)) AS l FROM f GROUP BY ALL)
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, round((y / l)::FLOAT::DOUBLE, 5) AS x FROM f JOIN l USING (vec_id)""",
     "knn_cosine": KNN, "knn_tiled": KNN, "knn_lsh": LSH,
     "bm25_topk": search(vectors=None), "bm25_pruned": search(vectors=None),
+    "bm25_impact_ranges": search(vectors=None),
     "bm25_fields": search(vectors=None, fields=FOLDED, weights={
         "pali_paragraph_ascii": 2.0, "translation_paragraph_ascii": 1.0}),
     "bm25_salted": simple(corpus(), QUERIES, ANALYSED, postings(), keyword_leg(),
                           final="""SELECT query_id, doc_id, bm25_score AS score,
+  CAST(bm25_rank AS BIGINT) AS rank FROM kw WHERE bm25_rank <= 10"""),
+    "bm25_impact_batches": simple(corpus(), QUERIES, ANALYSED, postings(), keyword_leg(),
+                                  final="""SELECT query_id, doc_id, bm25_score AS score,
   CAST(bm25_rank AS BIGINT) AS rank FROM kw WHERE bm25_rank <= 10"""),
     "search_lsh": search(queries=QUERIES.replace("0.5::DOUBLE", "1.0::DOUBLE"), leg=code_leg()),
     "lsh_recall": search(queries=QUERIES.replace("0.5::DOUBLE", "1.0::DOUBLE"), leg=code_leg(),

@@ -27,6 +27,7 @@ ASCII = CorpusConfig(ascii_columns=True)
 FIELDS = ("multilingual_concat", "pali_paragraph_ascii", "translation_paragraph_ascii")
 LSH = (8, 6)
 CODES = Codes(32, 8)
+RANGE_DOCS = 64  # so that the small test tables have many ranges
 PROBES = {"probes": 8, "shared_tables": 2}
 _built: dict[tuple[str, str, str], str] = {}
 _runs = iter(range(10**9))
@@ -64,7 +65,7 @@ def _index(spark: SparkSession, folder: str, kind: str) -> Index:
         path = _folder(spark, kind)
         if kind == "documents":
             index_plan.build_index(spark, corpus_ops.build_corpus(_raw(spark, folder), ASCII),
-                                   path, FIELDS, codes=CODES)
+                                   path, FIELDS, codes=CODES, range_docs=RANGE_DOCS)
         else:
             index_plan.build_index(spark, corpus_ops.build_corpus(_conversations(spark, folder)),
                                    path, vector_columns=index_plan.LANGUAGE_COLUMNS)
@@ -321,6 +322,24 @@ def bm25_pruned(spark, folder):
     return _hits(_search(spark, folder, vectors=False, prune_from=0))
 
 
+def bm25_impact_ranges(spark, folder):
+    """Full keyword search by the bounds of document ranges, as for many query terms."""
+    return _hits(_search(spark, folder, vectors=False, prune_from=0, impact_ranges=True))
+
+
+def bm25_impact_batches(spark, folder):
+    """The same in several batches of queries, as for more terms than can be broadcast."""
+    index = _index(spark, folder, "documents")
+    asked = search_plan.analyse_queries(_queries(spark, folder))
+    weighted = lexical.weigh_terms(lexical.query_terms(asked), index.term_stats(),
+                                   index.field_totals(), lexical.DEFAULT_FIELDS).checkpoint()
+    n_terms = weighted.count()
+    best = lexical.bm25_impact_ranges(index.postings(), index.impacts(), weighted, 10, index.n_ranges,
+                                      term_rows=n_terms // 2 + 1, pair_rows=2 * n_terms * index.n_ranges)
+    return best.select("query_id", "doc_id", F.col("bm25_score").alias("score"),
+                       F.col("bm25_rank").cast("bigint").alias("rank"))
+
+
 def hybrid_search(spark, folder):
     return _hits(_search(spark, folder))
 
@@ -632,4 +651,4 @@ QUERIES = {f.__name__: f for f in (
     retrieval_summary, encode_agreement, nested_results_all, search_explain, generator_answers,
     retrieval_quality_short, encode_empty_texts, ensure_index, compact_index, bm25_large_topk,
     hybrid_large_topk, encode_reuse, wordless_judgments,
-    search_lsh, lsh_recall)}
+    search_lsh, lsh_recall, bm25_impact_ranges, bm25_impact_batches)}
