@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from duoglot.llm.common import chunks, stored, words
 from duoglot.llm.token_counts import byte_letters
 
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 RANK_ROWS = 1_000_000
 
 
@@ -66,23 +66,48 @@ class WordEncoder:
                 mapped = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
                 known[piece] = b"".join([self.packed[token.id] for token in self.model.tokenize(mapped)])
         ids = b"".join(map(known.__getitem__, pieces))
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED // 2:
             self.known = {}
         return ids
 
 
+class Stems(dict):
+    """Ids of lower-case words of a to z, each merged once while it is remembered."""
+
+    def __init__(self, encode: WordEncoder):
+        super().__init__()
+        self.tokenize, self.packed = encode.model.tokenize, encode.packed
+
+    def __missing__(self, stem: bytes) -> bytes:
+        packed = self.packed
+        ids = b"".join([packed[token.id] for token in self.tokenize(stem.decode())])
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[stem] = ids
+        return ids
+
+
 class Remembered(dict):
     """Ids by word; a word that is missing is encoded. Once full, words not met since the last
-    time it was full are forgotten."""
+    time it was full are forgotten.
+
+    Most words are letters from A to z, and often a full stop or comma: these are told by their bytes and put
+    together from what is known of their stem."""
 
     def __init__(self, encode: WordEncoder):
         super().__init__()
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.stems = encode, {}, Stems(encode)
+        self.stops = {ord(stop): encode(stop.encode()) for stop in ".,"}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.encode(word)
+            if word.isalpha():
+                ids = self.stems[word.lower()]
+            elif word[-1] in self.stops and word[:-1].isalpha():
+                ids = self.stems[word[:-1].lower()] + self.stops[word[-1]]
+            else:
+                ids = self.encode(word)
         if len(self) >= REMEMBERED // 2:
             self.older = dict(self)
             self.clear()
