@@ -114,3 +114,28 @@ def test_without_ranges_and_after_compaction(spark, tmp_path):
     assert sorted(map(str, plan.search(whole, asked, options).collect())) == want
     empty = ensure_index(spark, str(tmp_path / "empty"))
     assert plan.search(empty, asked, options).count() == 0
+
+
+def test_work_does_not_grow_with_the_number_of_ranges(spark, tmp_path, monkeypatch):
+    corpus = build_corpus(spark.createDataFrame(paragraphs(5), RAW))
+    index = build_index(spark, corpus, str(tmp_path / "i"), buckets=3, range_docs=1)
+    weighted = weights(spark, index)
+    batches, pushed, slices = [], [], []
+    by_ranges, within = lexical._best_by_ranges, lexical._scores_within
+    monkeypatch.setattr(lexical, "_best_by_ranges", lambda *a: batches.append(1) or by_ranges(*a))
+    monkeypatch.setattr(lexical, "_scores_within", lambda *a: slices.append(a[3]) or within(*a))
+    def noted(column, values):
+        pushed.append(len(values))
+        return one_of(column, values)
+    got = lexical.bm25_impact_ranges(index.postings(), index.impacts(), weighted, 5, index.n_ranges, pair_rows=80)
+    assert rows(got) == rows(lexical.bm25_topk(index.postings(), weighted, 5, 10)) and len(batches) == 1
+    # No list is full, so every range of the 120 is scored, in slices.
+    want = rows(lexical.bm25_topk(index.postings(), weighted, 200, 10))
+    limits = spark.createDataFrame([(q, 200) for q in range(1, 8)], "query_id long, limit long")
+    for own in (None, limits):
+        slices.clear()
+        got = by_ranges(index.postings(), index.impacts(), F.broadcast(weighted), 200, own, 80, noted)
+        assert rows(got) == want and want
+        assert len(slices) > 4 and max(slices[1:]) <= 80
+    # A condition of long lists is tested row by row.
+    assert pushed and max(pushed) <= 100
