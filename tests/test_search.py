@@ -165,6 +165,17 @@ def test_pruned_search_is_exact(spark, index, limit):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
 
 
+def test_pruned_search_shuffles_the_best_rows_only(spark, index):
+    """Also in a session that wants all keys of a join clustered, as Spark does by default."""
+    q = plan.analyse_queries(asked(spark, "the Buddha and the Dhamma of the city")).checkpoint()
+    weighted = lexical.weigh_terms(lexical.query_terms(q), index.term_stats(), index.field_totals(),
+                                   lexical.DEFAULT_FIELDS).checkpoint()
+    best = lexical.bm25_topk_pruned(index.postings(), weighted, 5)
+    shown = best._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in shown.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("doc_id" in line.split("hashpartitioning")[1] for line in shuffles)
+
+
 def test_postings_are_not_shuffled_for_broadcast_terms(spark, index):
     q = plan.analyse_queries(asked(spark, "Dhamma")).checkpoint()
     weighted = lexical.weigh_terms(lexical.query_terms(q), index.term_stats(), index.field_totals(),
