@@ -110,3 +110,13 @@ def test_quick_check_lets_only_stable_texts_pass(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
     got = dict(map(tuple, df.select("i", text.normalize_nfc("t")).collect()))
     assert got == {i: unicodedata.normalize("NFC", t).strip() for i, t in enumerate(texts)}
+
+
+def test_the_first_nfc_test_finds_all_that_the_second_one_does():
+    import re
+    def compiled(pattern):
+        return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern))
+    first, second = compiled(text.NFC_BEYOND), compiled(text.NFC_UNSURE)
+    unsure = [c for c in map(chr, range(0x110000)) if second.match(c)]
+    assert unsure and all(first.match(c) for c in unsure)
+    assert not first.search("Se que ñezll, ciónñgaco übergröße façade")
