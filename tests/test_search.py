@@ -484,3 +484,19 @@ def test_judgments_of_short_and_wordless_queries(spark, index):
     plan_text = judged._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan_text and "Cartesian" not in plan_text
     assert quality.passage_judgments(table.limit(0), index.docs(), posted).count() == 0
+
+
+def test_a_text_of_many_queries_is_looked_for_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "one, two three"), ("b", "one two"), ("c", "three"), ("d", None)],
+                                 "doc_id string, multilingual_concat string")
+    posted = lexical.postings(docs).checkpoint()
+    asked_for = []
+    found = quality.containing_terms
+    monkeypatch.setattr(quality, "containing_terms", lambda asked, vocabulary: asked_for.append(
+        asked.count()) or found(asked, vocabulary))
+    rows = [(i, [" ", ", ", "thre"][i % 3]) for i in range(30)] + [(3, " "), (40, None), (None, " "), (None, "|")]
+    queries = spark.createDataFrame(rows, "query_id long, query string")
+    got = sorted(map(tuple, quality.passage_judgments(queries, docs, posted).collect()))
+    texts = {r["doc_id"]: r["multilingual_concat"] or "" for r in docs.collect()}
+    assert got == sorted((i, d) for i, q in rows if i is not None and q is not None for d in texts if q in texts[d])
+    assert asked_for == [1, 2]
