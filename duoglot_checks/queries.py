@@ -552,13 +552,16 @@ def retrieval_summary(spark, folder):
 
 def _hashing_model():
     """The hashing encoder as a batch model, to exercise the plug-in."""
-    import re
     import unicodedata
 
-    def letters(c):
-        return unicodedata.category(c)[0] in "LNM"
+    class Letters(dict):
+        """Character → itself if it is a letter, digit or mark, else a space; filled as characters turn up."""
 
-    cells: dict[str, tuple[int, int]] = {}
+        def __missing__(self, code):
+            self[code] = chr(code) if unicodedata.category(chr(code))[0] in "LNM" else " "
+            return self[code]
+
+    letters, cells = Letters(), {}
 
     def cell(term):
         if term not in cells:
@@ -569,10 +572,9 @@ def _hashing_model():
     def predict(texts):
         out = np.zeros((len(texts), vectors.HASH_DIM), dtype=np.float64)
         for row, value in enumerate(texts):
-            kept = "".join(c if letters(c) else " " for c in value.lower())
-            for term in re.split(" +", kept.strip(" ")):
-                place, sign = cell(term)
-                out[row, place] += sign
+            kept = value.lower().translate(letters)
+            found = np.array([cell(term) for term in kept.split(" ") if term] or [cell("")])
+            out[row] = np.bincount(found[:, 0], found[:, 1], vectors.HASH_DIM)
         return out
 
     return predict

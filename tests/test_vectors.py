@@ -190,3 +190,42 @@ def test_stored_vectors_are_reused(spark, tmp_path, monkeypatch):
         assert {r["id"]: r["embedding"][1] for r in rows} == {1: 1.0, 2: 1.0, 3: 2.0}
     assert spark.read.parquet(store).count() == 7
     assert encode.encode(first.limit(0), "text", model(3), store=store).count() == 0
+
+
+def test_text_vectors_are_those_of_the_encoder_without_a_shuffle(spark):
+    from duoglot.operators import encode, words
+    texts = [("a", "x y x 你好 Ünï x"), ("b", ""), ("c", None), ("d", "!!"), ("e", "é é"), ("f", "w " * 5000),
+             ("g", " ".join(f"w{i}" for i in range(3000)))]
+    df = spark.createDataFrame(texts, "doc_id string, text string").coalesce(1)
+    found = encode.text_vectors(df, ["doc_id"], "text")
+    assert "Exchange" not in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    want = {r[0]: list(r[1]) for r in encode.hash_encode(df, ["doc_id"], "text").collect()}
+    assert {r[0]: list(r[1]) for r in found.collect()} == want and len(want) == len(texts)
+
+
+def test_words_in_parts(monkeypatch):
+    import pyarrow as pa
+    from duoglot.operators import words
+    monkeypatch.setattr(words, "PART_WORDS", 3)
+    monkeypatch.setattr(words, "PART_ROWS", 2)
+    lists = [["a", "b"], ["a"], ["c"] * 5, [], [], [], ["d", "a"], ["e"]]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([["z"], *lists])], names=["n", "words"])
+    got = []
+    for part, row, terms, code in words.word_rows(whole.slice(1)):
+        assert part.num_rows <= 2
+        found = [[] for _ in range(part.num_rows)]
+        for r, c in zip(row, code):
+            found[r].append(terms[int(c)].as_py())
+        got += list(zip(part.column("n").to_pylist(), found))
+    assert got == list(zip(range(1, 9), lists))
+
+
+def test_batch_model_looks_at_a_character_once(monkeypatch):
+    import unicodedata
+    from duoglot_checks import queries
+    seen, category = [], unicodedata.category
+    predict = queries._hashing_model()
+    monkeypatch.setattr(unicodedata, "category", lambda c: seen.append(c) or category(c))
+    out = predict(["ab ab, ba", "", "ab", " "])
+    assert len(seen) == len(set(seen)) and (out[1] == out[3]).all() and (out[0] != 0).sum() <= 2
+    assert abs(out[0]).sum() == 3 and abs(out[2]).sum() == 1
