@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duoglot.llm import language_id, near_dedup, packing, quality, substring_dedup
-from duoglot.llm.common import stored, table
+from duoglot.llm.common import gathered, stored, table
 
 BROADCAST_IDS = 1_000_000
 LOWEST_SCORE = 0.5
@@ -31,6 +31,7 @@ def _together(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
+    docs = gathered(docs)
     rules = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
     return quality.keep(docs, rules)
 
@@ -38,6 +39,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: not ``und``, and a posterior of at least a half.
     The language itself, and the label, reject nothing."""
+    docs = gathered(docs)
     model = language_id.train(docs.where(language_id.fold_of() != 2),
                               public_tokenizers.path("piece_bpe_32k.model"))
     judged = language_id.identify(_apart(docs), model)
@@ -46,8 +48,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest id."""
+    docs = gathered(docs)
     found = near_dedup.near_duplicates(docs, threshold=0.8, size=5)
-    dropped = stored(found.where("NOT kept").select("doc_id").distinct(), "near-dropped")
+    dropped = stored(found.where("NOT kept").select("doc_id").distinct(), "near-dropped", docs.count())
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)  # 8 bytes each, counted
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -56,6 +59,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that a document with a smaller id has as well; a text that is cut has its
     words joined by one space and ``n_chars`` anew. A text that loses all its words stays, empty."""
+    docs = gathered(docs)
     cut = substring_dedup.cut_passages(_apart(docs), length=50)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = {"text": text}
@@ -67,6 +71,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as pieces in sequences of at most 2048 tokens."""
+    docs = gathered(docs)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 

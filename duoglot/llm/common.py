@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from duoglot.session import work_folder
 
 CHUNK_BYTES = 1 << 20
+IDLE_SECONDS = 15
+PART_BYTES = 4 << 20
+LEAST_PARTS = 16
 
 # Words are maximal runs of anything but these six characters, as in [^\x20\x09-\x0D]+.
 WHITE = " \t\n\x0b\x0c\r"
@@ -42,10 +47,46 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str,
         yield batch.slice(start)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+class Idle:
+    """Calls ``release`` once nothing has been ``in_use`` for ``IDLE_SECONDS``. Spark keeps Python workers
+    after their stage, beside the memory of the JVM; what they hold for their next task must not stay."""
+
+    def __init__(self, release: Callable[[], None]):
+        self.release, self.timer = release, None
+
+    @contextmanager
+    def in_use(self) -> Iterator[None]:
+        if self.timer:
+            self.timer.cancel()
+        try:
+            yield
+        finally:
+            self.timer = threading.Timer(IDLE_SECONDS, self.release)
+            self.timer.daemon = True
+            self.timer.start()
+
+
+def gathered(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows in no more partitions than one per ``PART_BYTES`` of text: many small files of an input
+    do not become as many files of every table made from it."""
+    size = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return df.coalesce(max(LEAST_PARTS, -(-size // PART_BYTES)))
+
+
+def no_finer(df: DataFrame, documents: DataFrame) -> DataFrame:
+    """The same rows in no more partitions than the ``documents`` that they come from have."""
+    return df.coalesce(max(LEAST_PARTS, documents.rdd.getNumPartitions()))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None, file_rows: int = 50_000) -> DataFrame:
     """Write a table to the shared work folder and read it back: lost executors then cost
-    a read and no recomputation, and the rows are the same for every reader."""
+    a read and no recomputation, and the rows are the same for every reader.
+
+    With ``rows``, a bound on the number of rows, there is no more than a file per ``file_rows`` of them.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // file_rows)))
     path = f"{work_folder(spark)}/duoglot-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -20,7 +20,7 @@ import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from duoglot.llm.common import chunks, stored
+from duoglot.llm.common import chunks, no_finer, stored
 
 MAX_LANGUAGES = 200
 # Letters and the marks that combine with them; a run begins with a letter.
@@ -272,7 +272,7 @@ def train(documents: DataFrame, path: str, rounds: int = 2, lang_col: str = "lan
     vocabulary and ``MAX_LANGUAGES``, beyond which it raises.
     """
     pieces = vocabulary(path)
-    counts = stored(word_counts(documents, lang_col, text_col), "language-words")
+    counts = stored(no_finer(word_counts(documents, lang_col, text_col), documents), "language-words")
     languages = tuple(sorted(row.lang for row in counts.select("lang").distinct()
                              .limit(MAX_LANGUAGES + 1).collect()))
     if not languages:

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from duoglot.llm.common import chunks, stored
+from duoglot.llm.common import chunks, no_finer, stored
 from duoglot.llm.components import connected_components
 from duoglot.llm.substring_dedup import mixed
 
@@ -253,7 +253,7 @@ def tiles_of(spokes: DataFrame, classes: DataFrame, labels: DataFrame, measured:
                 F.coalesce("core", "center").alias("core"))
         .join(distance, ["center", "doc"], "left").join(sizes, "doc")
         .select("center", "doc", "component", "n", "far", (F.col("component") != F.col("core")).alias("minor")),
-        "near-members")
+        "near-members", 2 * spokes.count())
 
     def blocks(side: str):
         rows, shingles = F.count_if(F.expr(side)), F.sum(F.when(F.expr(side), F.col("n")).otherwise(0))
@@ -349,13 +349,15 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     named = ["n", "h1", "h2"]
     classes = stored(rows.where("n > 0 AND doc IS NOT NULL").groupBy(*named)
                      .agg(F.min("doc").alias("doc"), F.first("own").alias("own"), F.first("regs").alias("regs")),
-                     "near-classes")
+                     "near-classes", rows.count(), file_rows=20_000)
     keys = band_keys(classes)
     stars = keys.groupBy("key").agg(F.min("doc").alias("center"), F.max("doc").alias("last")).where("center < last")
-    spokes = stored(keys.join(stars.select("key", "center"), "key").where("doc != center")
-                    .select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), "near-spokes")
-    pairs = stored(likely(spokes, classes, threshold), "near-pairs")
-    measured = stored(similarities(pairs, documents, size, id_col, text_col), "near-measured")
+    spokes = stored(no_finer(keys.join(stars.select("key", "center"), "key").where("doc != center")
+                             .select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), documents),
+                    "near-spokes")
+    pairs = stored(likely(spokes, classes, threshold), "near-pairs", spokes.count())
+    measured = stored(similarities(pairs, documents, size, id_col, text_col), "near-measured", pairs.count(),
+                      file_rows=2_000)
     member = rows.select("doc", *named).join(
         classes.select(*named, F.col("doc").alias("class_doc")), named, "left")
     # Rows of one id with different texts are one document: their classes belong together.
@@ -364,12 +366,14 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     one_id = member.join(several, "doc").select("a", F.col("class_doc").alias("b")).where("b IS NOT NULL")
     linked = f"common >= {threshold} * either - 1e-9"
     links = measured.where(linked).select("a", "b").unionByName(one_id)
-    labels = connected_components(links)
-    tiles = stored(tiles_of(spokes, classes, labels, measured, threshold), "near-tiles")
-    if not tiles.isEmpty():
+    n_links = measured.count() + rows.count()
+    labels = connected_components(links, rows=n_links)
+    tiles = stored(no_finer(tiles_of(spokes, classes, labels, measured, threshold), documents), "near-tiles")
+    n_tiles = tiles.count()
+    if n_tiles:
         sets = stored(member_sets(tiles.select("doc").distinct(), documents, size, id_col, text_col), "near-sets")
-        more = stored(other_links(tiles, sets, threshold), "near-more")
-        labels = connected_components(links.unionByName(more))
+        more = stored(other_links(tiles, sets, threshold), "near-more", n_tiles, file_rows=CHUNK_ROWS)
+        labels = connected_components(links.unionByName(more), rows=n_links + more.count())
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "class_doc", "doc"))
     return (member.join(labels, F.col("class_doc") == F.col("id"), "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

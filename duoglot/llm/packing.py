@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
-from duoglot.llm.common import chunks, stored, words
+from duoglot.llm.common import Idle, chunks, no_finer, stored, words
 from duoglot.llm.token_counts import byte_letters
 
 REMEMBERED = 400_000
@@ -98,6 +98,13 @@ class Remembered(dict):
         super().__init__()
         self.encode, self.older, self.stems = encode, {}, Stems(encode)
         self.stops = {ord(stop): encode(stop.encode()) for stop in ".,"}
+        self.idle = Idle(self.forget)
+
+    def forget(self) -> None:
+        """All words; the vocabulary stays."""
+        self.clear()
+        self.older, self.encode.known = {}, {}
+        self.stems.clear()
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -137,17 +144,18 @@ def token_pieces(documents: DataFrame, path: str, capacity: int, end_id: int = 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered(path)
-        for part in chunks(batches, "text"):
-            texts = [words(text) for text in part.column("text").to_pylist()]
-            rows: list[tuple] = []
-            for doc, text in zip(part.column("id").to_pylist(), texts):
-                ids = b"".join(map(known.__getitem__, text)) + end
-                rows.extend((doc, at // width, at // 4, min(width, len(ids) - at) // 4,
-                             zlib.crc32(ids[at:at + width])) for at in range(0, len(ids), width))
-            columns = list(zip(*rows))
-            kinds = [part.column("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=schema.names)
+        with known.idle.in_use():
+            for part in chunks(batches, "text"):
+                texts = [words(text) for text in part.column("text").to_pylist()]
+                rows: list[tuple] = []
+                for doc, text in zip(part.column("id").to_pylist(), texts):
+                    ids = b"".join(map(known.__getitem__, text)) + end
+                    rows.extend((doc, at // width, at // 4, min(width, len(ids) - at) // 4,
+                                 zlib.crc32(ids[at:at + width])) for at in range(0, len(ids), width))
+                columns = list(zip(*rows))
+                kinds = [part.column("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                                 names=schema.names)
 
     return (documents.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
             .mapInArrow(run, schema))
@@ -414,5 +422,5 @@ def pack_documents(documents: DataFrame, path: str, capacity: int = 2048, end_id
     Every row of ``documents`` is packed, repeated and null ids too; a null or empty text
     has one piece with only ``end_id``.
     """
-    pieces = token_pieces(documents, path, capacity, end_id, id_col, text_col)
-    return pack(stored(pieces, "token-pieces"), capacity)
+    pieces = stored(token_pieces(documents, path, capacity, end_id, id_col, text_col), "token-pieces")
+    return no_finer(pack(pieces, capacity), documents)

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from duoglot.llm.common import chunks, stored, words
+from duoglot.llm.common import chunks, no_finer, stored, words
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 
@@ -116,7 +116,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, k: int = 12, id_col:
               .agg(F.min("doc").alias("min_doc"), F.max("doc").alias("max_doc"),
                    (F.min("path") != F.max("path")).alias("branching"))
               .where("min_doc < max_doc").select("anchor", "min_doc", "branching"))
-    places = stored(found.join(shared, "anchor"), "passage-paths")
+    places = stored(no_finer(found.join(shared, "anchor"), documents), "passage-paths")
     whole = places.where("NOT branching AND doc > min_doc").select("doc", "text_key", "start", "n")
 
     branching = places.where("branching")
@@ -205,4 +205,5 @@ def cut_passages(documents: DataFrame, length: int = 50, k: int = 12, id_col: st
                 + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())],
                 names=schema.names)
 
-    return rows.join(spans, ["doc", "text_key"], "left").select("row", "text", "spans").mapInArrow(cut, schema)
+    cuts = rows.join(spans, ["doc", "text_key"], "left").select("row", "text", "spans").mapInArrow(cut, schema)
+    return no_finer(cuts, documents)

@@ -532,3 +532,49 @@ def test_pages_nested_very_deep(spark):
     page = "<article>" + "<div class=x>" * 30_000 + "inner text" + "<div class=ad>buy <div>now</div></div>" + "</div>" * 30_000 + " end"
     table = spark.createDataFrame([(1, "http://d.example/1", page)], "page_id long, url string, html string")
     assert page_text.extract(table).first().text == "inner text end"
+
+
+def test_small_tables_are_not_dealt_over_many_files(spark):
+    import glob
+
+    from duoglot.llm import common
+    assert len(common.stored(spark.range(0, 100, 1, 20), "few").inputFiles()) > 1
+    kept = common.stored(spark.range(0, 100, 1, 20), "few", 100, file_rows=50)
+    assert len(kept.inputFiles()) == 2 and sorted(r.id for r in kept.collect()) == list(range(100))
+    assert common.stored(spark.range(0), "none", 0).count() == 0
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(name, None) for name in names]
+    try:
+        for name, value in zip(names, ("20", "false")):
+            spark.conf.set(name, value)
+        links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+        common.work_folder(spark)
+        there = lambda: len(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/rdd-*/part-*"))
+        old = there()
+        got = components.connected_components(links)
+        new = there() - old
+        assert {r.id: r.component for r in got.collect()} == {i: 0 for i in range(51)}
+        assert 20 < new < 40  # the first links, then a file a round
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def test_pipeline_of_many_small_files_writes_few(spark, tmp_path):
+    import corpus_pipeline
+
+    from duoglot.llm import common
+    text = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(i, f"{text} {i}") for i in range(80)], "doc_id long, text string").repartition(40).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    size = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a partition for each file
+    try:
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        assert docs.rdd.getNumPartitions() == 40
+        assert common.gathered(docs).rdd.getNumPartitions() == common.LEAST_PARTS
+        packed = corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path))
+        assert packed.count() == 80 and packed.rdd.getNumPartitions() <= common.LEAST_PARTS
+        assert common.gathered(docs.where("false")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", size)

@@ -102,3 +102,27 @@ def test_without_pieces_or_steps():
     counts = np.bincount(np.random.default_rng(0).integers(20, 101, 500), minlength=151)
     assert checked(counts, 150, packing.bin_completion(counts, 150, nodes=0)) == checked(
         counts, 150, packing.best_fit_decreasing(counts, 150))
+
+
+def test_words_are_forgotten_once_no_task_uses_them(monkeypatch):
+    import time
+
+    import public_tokenizers
+
+    from duoglot.llm import common
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known = packing.remembered(path)
+    text = [b"Some", b"words,", b"n\xc3\xa4mlich", b"x-1"]
+    with known.idle.in_use():
+        ids = [known[word] for word in text]
+        time.sleep(0.3)
+        assert len(known) >= len(text) and known.stems
+    with known.idle.in_use():  # used again in time: nothing is lost
+        assert len(known) >= len(text)
+    for _ in range(50):
+        if not known:
+            break
+        time.sleep(0.1)
+    assert not known and not known.older and not known.stems and not known.encode.known
+    assert packing.remembered(path) is known and [known[word] for word in text] == ids
