@@ -232,7 +232,7 @@ def member_sets(ids: DataFrame, documents: DataFrame, size: int, id_col: str, te
 
 
 def tiles_of(spokes: DataFrame, classes: DataFrame, labels: DataFrame, measured: DataFrame,
-             threshold: float) -> DataFrame:
+             documents: DataFrame, threshold: float) -> DataFrame:
     """``(center, outside, i, j, minor, block, doc, component, far)``: which members meet where.
 
     A member of a star is minor if its component is not the centre's. Minor members are cut
@@ -246,14 +246,14 @@ def tiles_of(spokes: DataFrame, classes: DataFrame, labels: DataFrame, measured:
     distance = measured.select(F.col("a").alias("center"), F.col("b").alias("doc"),
                                (1 - F.col("common") / F.col("either")).alias("far"))
     of_center = labels.select(F.col("id").alias("center_id"), F.col("component").alias("core"))
-    labelled = stored(
+    labelled = stored(no_finer(
         members.join(labels, F.col("doc") == F.col("id"), "left")
         .join(of_center, F.col("center") == F.col("center_id"), "left")
         .select("center", "doc", F.coalesce("component", "doc").alias("component"),
                 F.coalesce("core", "center").alias("core"))
         .join(distance, ["center", "doc"], "left").join(sizes, "doc")
         .select("center", "doc", "component", "n", "far", (F.col("component") != F.col("core")).alias("minor")),
-        "near-members", 2 * spokes.count())
+        documents), "near-members")
 
     def blocks(side: str):
         rows, shingles = F.count_if(F.expr(side)), F.sum(F.when(F.expr(side), F.col("n")).otherwise(0))
@@ -355,7 +355,8 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     spokes = stored(no_finer(keys.join(stars.select("key", "center"), "key").where("doc != center")
                              .select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), documents),
                     "near-spokes")
-    pairs = stored(likely(spokes, classes, threshold), "near-pairs", spokes.count())
+    # These and the members read all classes, however few spokes there are.
+    pairs = stored(no_finer(likely(spokes, classes, threshold), documents), "near-pairs")
     measured = stored(similarities(pairs, documents, size, id_col, text_col), "near-measured", pairs.count(),
                       file_rows=2_000)
     member = rows.select("doc", *named).join(
@@ -368,7 +369,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, size: int = 5,
     links = measured.where(linked).select("a", "b").unionByName(one_id)
     n_links = measured.count() + rows.count()
     labels = connected_components(links, rows=n_links)
-    tiles = stored(no_finer(tiles_of(spokes, classes, labels, measured, threshold), documents), "near-tiles")
+    tiles = stored(no_finer(tiles_of(spokes, classes, labels, measured, documents, threshold), documents), "near-tiles")
     n_tiles = tiles.count()
     if n_tiles:
         sets = stored(member_sets(tiles.select("doc").distinct(), documents, size, id_col, text_col), "near-sets")
