@@ -29,6 +29,8 @@ from duoglot.operators.topk import top_by_own_limit, top_per_group
 BROADCAST_QUERIES = 4_096      # × 768 floats = 12 MB
 TILE_QUERIES = 16_384
 TILE_DOCS = 16_384
+HELD_CELLS = 4_000_000         # numbers that a side of a cogroup may hold whatever its tile, 32 MB
+SCAN_QUERIES = 2_048           # queries of a cogroup whose lists run at once
 _BLOCK_CELLS = 4_000_000       # scores held at once in a task
 _SCALE = 10.0 ** SCORE_DIGITS
 
@@ -68,19 +70,13 @@ class _TopLists:
         self.ids: np.ndarray | None = None
         self.scores = np.zeros(0)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is queries × ids; entries of -inf are left out."""
-        n = scores.shape[1]
-        cut = self.floor
-        if n > self.limit:
-            kth = np.partition(scores, n - self.limit, axis=1)[:, n - self.limit]
-            cut = np.maximum(cut, kth)
-        q, d = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates: position of the query, id and score of each."""
         if not len(q):
             return
         query = np.concatenate([self.query, q])
-        all_ids = ids[d] if self.ids is None else np.concatenate([self.ids, ids[d]])
-        values = np.concatenate([self.scores, scores[q, d]])
+        all_ids = ids if self.ids is None else np.concatenate([self.ids, ids])
+        values = np.concatenate([self.scores, scores])
         order = np.lexsort((all_ids, -values, query))
         query, all_ids, values = query[order], all_ids[order], values[order]
         starts = np.searchsorted(query, np.arange(len(self.floor)))
@@ -91,15 +87,49 @@ class _TopLists:
         self.floor[self.query[full]] = self.scores[full]
 
 
-def _scan(lists: _TopLists, query_ids: np.ndarray, matrix: np.ndarray, ids: np.ndarray,
-          vectors: np.ndarray, skip_same: bool) -> None:
-    step = max(1, _BLOCK_CELLS // max(1, len(query_ids)))
-    for start in range(0, len(ids), step):
-        part = ids[start:start + step]
-        scores = _rounded(matrix @ vectors[start:start + step].T)
-        if skip_same:
-            scores[query_ids[:, None] == part[None, :]] = -np.inf
-        lists.add(part, scores)
+def _longest(vectors: np.ndarray) -> float:
+    return float(np.sqrt(np.nanmax(np.einsum("ij,ij->i", vectors, vectors), initial=0.0)))
+
+
+class _Scan:
+    """Compares queries with one share of the documents after another.
+
+    All products are formed in single precision, whose error is bounded; only those that can reach a list within that
+    bound are formed and rounded in double precision. So lists are the same as with all of them in double.
+    """
+
+    def __init__(self, query_ids: np.ndarray, matrix: np.ndarray, limits: np.ndarray, skip_same: bool):
+        self.query_ids, self.matrix, self.skip_same = query_ids, matrix, skip_same
+        self.coarse = matrix.astype(np.float32)
+        self.longest = _longest(matrix)
+        self.lists = _TopLists(limits)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, _BLOCK_CELLS // max(1, len(self.query_ids)))
+        for start in range(0, len(ids), step):
+            self._add(ids[start:start + step], vectors[start:start + step])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        lists, width = self.lists, vectors.shape[1]
+        longest = self.longest * _longest(vectors)
+        # The products' error, then that of comparing with rounded scores.
+        error = (width + 8) * 2.0 ** -23 * longest + 1 / _SCALE
+        scores = self.coarse @ vectors.astype(np.float32).T
+        if self.skip_same:
+            scores[self.query_ids[:, None] == ids[None, :]] = -np.inf
+        cut = lists.floor - error
+        n = len(ids)
+        if n > lists.limit and np.isinf(lists.floor).any():
+            cut = np.fmax(cut, np.partition(scores, n - lists.limit, axis=1)[:, n - lists.limit] - 2 * error)
+        # Rounded down, so that the comparison in single precision leaves nothing out.
+        cut = np.nextafter(cut.astype(np.float32), np.float32(-np.inf))
+        q, d = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+        some = max(1, _BLOCK_CELLS // max(1, width))
+        for at in range(0, len(q), some):
+            near, far = q[at:at + some], d[at:at + some]
+            exact = _rounded(np.einsum("ij,ij->i", self.matrix[near], vectors[far]))
+            kept = (exact >= lists.floor[near]) & np.isfinite(exact)
+            lists.add(near[kept], ids[far[kept]], exact[kept])
 
 
 def _schema(queries: DataFrame, docs: DataFrame) -> str:
@@ -136,16 +166,15 @@ def _broadcast_scan(queries: DataFrame, docs: DataFrame, skip_same: bool) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast((query_ids, matrix, _limits(rows)))
     schema = _output(queries, docs)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix, limits = shared.value
-        lists = _TopLists(limits)
+        scan = _Scan(query_ids, matrix, limits, skip_same)
         for batch in batches:
             if batch.num_rows and len(query_ids):
-                _scan(lists, query_ids, matrix, _ids(batch.column("doc_id")),
-                      _matrix(batch.column("embedding"), matrix.shape[1]), skip_same)
-        yield pa.RecordBatch.from_arrays(_columns(lists, query_ids, schema), schema=schema)
+                scan.add(_ids(batch.column("doc_id")), _matrix(batch.column("embedding"), matrix.shape[1]))
+        yield pa.RecordBatch.from_arrays(_columns(scan.lists, query_ids, schema), schema=schema)
 
-    return docs.mapInArrow(scan, _schema(queries, docs))
+    return docs.mapInArrow(best, _schema(queries, docs))
 
 
 def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str],
@@ -153,11 +182,13 @@ def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str],
     """Best rows per tile for queries and documents that share ``keys``.
 
     A key is cut into as many query parts and document parts as its counts ask for, so no
-    cogroup exceeds one tile of each side, however the rows are spread over the keys.
+    cogroup exceeds one tile of each side, however the rows are spread over the keys. Every row is
+    copied once per part of the other side, so a tile smaller than ``HELD_CELLS`` numbers is filled up
+    to that: with small tiles the copies, not the rows, would make up what is shuffled.
     """
     def parts(df: DataFrame, tile: int, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+        rows = F.greatest(F.lit(tile), F.floor(F.lit(HELD_CELLS) / F.greatest(F.max(F.size("embedding")), F.lit(1))))
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
     sizes = parts(queries, tile_queries, "_query_parts").join(
         parts(docs, tile_docs, "_doc_parts"), keys)
@@ -183,10 +214,14 @@ def _tiled(queries: DataFrame, docs: DataFrame, keys: list[str],
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         query_ids, matrix = _ids(left["query_id"]), _matrix(left["embedding"])
-        lists = _TopLists(_limits(left))
-        _scan(lists, query_ids, matrix, _ids(right["doc_id"]),
-              _matrix(right["embedding"], matrix.shape[1]), skip_same)
-        return pa.Table.from_arrays(_columns(lists, query_ids, schema), schema=schema)
+        limits, ids, vectors = _limits(left), _ids(right["doc_id"]), _matrix(right["embedding"], matrix.shape[1])
+        found = []
+        for at in range(0, len(query_ids), SCAN_QUERIES):
+            some = slice(at, at + SCAN_QUERIES)
+            scan = _Scan(query_ids[some], matrix[some], limits[some], skip_same)
+            scan.add(ids, vectors)
+            found.append(pa.Table.from_arrays(_columns(scan.lists, query_ids[some], schema), schema=schema))
+        return pa.concat_tables(found)
 
     tile = [*keys, "_q", "_d"]
     return q.groupBy(*tile).cogroup(d.groupBy(*tile)).applyInArrow(

@@ -229,3 +229,44 @@ def test_batch_model_looks_at_a_character_once(monkeypatch):
     out = predict(["ab ab, ba", "", "ab", " "])
     assert len(seen) == len(set(seen)) and (out[1] == out[3]).all() and (out[0] != 0).sum() <= 2
     assert abs(out[0]).sum() == 3 and abs(out[2]).sum() == 1
+
+
+def test_small_tiles_do_not_multiply_the_rows(spark, monkeypatch):
+    import numpy as np
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(120, 8)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[60:70] = vectors[50:60]          # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<float>")
+    queries = rows.withColumnRenamed("doc_id", "query_id").withColumn("_limit", F.lit(5).cast("long"))
+    parts = []
+    real = F.ceil
+    monkeypatch.setattr(knn.F, "ceil", lambda c: parts.append(real(c)) or real(c))
+    one = F.lit(0).alias("_all")
+    found = knn._tiled(queries.select("*", one), rows.select("*", one), ["_all"], False, 3, 4)
+    # One list of each query: both sides are one part, however small the tiles.
+    assert found.count() == 120 * 5 and len(parts) == 2
+    monkeypatch.setattr(knn, "HELD_CELLS", 1)
+    assert knn._tiled(queries.select("*", one), rows.select("*", one), ["_all"], False, 30, 40).count() > 120 * 5
+    exact = np.floor(np.abs(vectors.astype(float) @ vectors.T.astype(float)) * 1e6 + 0.5) / 1e6 * np.sign(vectors.astype(float) @ vectors.T)
+    for skip in (False, True):
+        for options in ({}, {"broadcast_queries": 0, "tile_queries": 3, "tile_docs": 4}):
+            got = {}
+            for r in knn.knn_topk(queries.drop("_limit"), rows, 5, skip_same=skip, **options).collect():
+                got.setdefault(r["query_id"], {})[r["vector_rank"]] = (r["doc_id"], r["vector_score"])
+            for q in range(120):
+                order = [int(d) for d in np.lexsort((np.arange(120), -exact[q])) if not (skip and d == q)][:5]
+                assert [got[q][i + 1][0] for i in range(5)] == order
+
+
+@pytest.mark.parametrize("options", [{}, {"broadcast_queries": 0, "tile_queries": 3, "tile_docs": 4}])
+def test_an_id_that_comes_often_is_still_left_out(spark, options):
+    draw = np.random.default_rng(4)
+    vectors = draw.normal(size=(30, 4))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors) for _ in range(4)],
+                                 "doc_id long, embedding array<float>")
+    found = knn.knn_topk(rows.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "query_id"), rows, 1,
+                         skip_same=True, **options).collect()
+    scores = vectors @ vectors.T - 9 * np.eye(30)
+    assert {r["query_id"]: r["doc_id"] for r in found} == {i: int(scores[i].argmax()) for i in range(30)}
